@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import chat, secrets
+from strandwise.llm import bpe, chat, secrets
 from strandwise.llm.common import table
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` as ids of the public 50k byte-level vocabulary, and decoded again."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_decode(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7 of two turns with control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -42,6 +50,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_bpe": op6_bpe,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_secret_scan": op9_secret_scan,
 }
