@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.llm.common import ship
+
 #: Widths of the buckets, the pieces that are remembered between groups of texts, and the characters of a group.
 BUCKETS, REMEMBERED, GROUP_CHARS = (2, 4, 6, 8, 12, 16, 24, 32, 64), 500_000, 2_000_000
 #: White space that str.isspace() and the pattern may see differently; words that border on it are cut by the pattern.
@@ -242,6 +244,7 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "do
     A null text is empty and has no tokens. Rows are independent: repeated rows and null ids give a row each; an empty
     table gives none. `ranks` (under 1 MB for the public vocabularies) is broadcast; whole texts are encoded.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     fields = [docs.schema[id_col], "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<long>", "decoded binary"] if keep_ids else [])]
     schema = ", ".join(f if isinstance(f, str) else f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
