@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import bpe, chat, secrets, simhash
+from strandwise.llm import bpe, chat, license_scan, secrets, simhash
 from strandwise.llm.common import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every whole text of `documents`."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` as ids of the public 50k byte-level vocabulary, and decoded again."""
     import public_tokenizers
@@ -56,6 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op6_bpe": op6_bpe,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_secret_scan": op9_secret_scan,
