@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import bpe, chat, license_scan, secrets, simhash
+from strandwise.llm import bpe, chat, license_scan, line_dedup, secrets, simhash
 from strandwise.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` without the later occurrences of windows of three lines."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` as ids of the public 50k byte-level vocabulary, and decoded again."""
     import public_tokenizers
@@ -62,6 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_secret_scan": op9_secret_scan,
