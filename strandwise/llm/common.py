@@ -79,7 +79,7 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
 
     def spans(k: str, p: str) -> Column:
         found = F.col(f"_{k}_found")
-        pairs = F.arrays_zip(found.alias("m"), F.transform(F.split(body, p, -1), F.length).alias("g"))
+        pairs = F.arrays_zip(found.alias("m"), F.transform(F.split(body, p, -1), lambda g: F.length(g)).alias("g"))
         start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
         folded = F.aggregate(
             pairs,

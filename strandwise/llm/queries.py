@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import bpe, chat, license_scan, line_dedup, secrets, simhash
+from strandwise.llm import bpe, chat, decontaminate, license_scan, line_dedup, secrets, simhash, topk
 from strandwise.llm.common import table
 
 
@@ -14,6 +14,17 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of `embeddings` by integer inner product, for every vec_id divisible by 50."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of `benchmark` in every whole text of `documents`."""
+    out = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` without the later occurrences of windows of three lines."""
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,6 +78,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op3_topk": op3_topk,
+    "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
     "op7_chat_formatting": op7_chat_formatting,
