@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import bpe, chat, decontaminate, license_scan, line_dedup, secrets, simhash, topk
+from strandwise.llm import bpe, chat, decontaminate, language_id, license_scan, line_dedup, secrets, simhash, topk
 from strandwise.llm.common import table
 
 
+#: Parts of a page that hold no text of its own.
+MARKUP = r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[A-Za-z]+;"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page of `pages`; models are fitted on a bounded sample of `documents`."""
+    pages = table(spark, sf_dir, "pages")
+    model = language_id.fit(table(spark, sf_dir, "documents"))
+    declared = F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
+    out = language_id.identify(pages, model, F.regexp_replace("html", MARKUP, " "), declared, language_id.hosts_of(F.col("url")))
+    return out.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", language_id.accepted(F.col("language"), F.col("posterior")).alias("accepted"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every whole text of `documents`."""
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -77,6 +90,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
