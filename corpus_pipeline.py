@@ -1,17 +1,61 @@
-"""The corpus pipeline: five stages over documents, each one operator of strandwise.llm."""
+"""The corpus pipeline: five stages over documents, each one operator of strandwise.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Where
+the stages run one by one, each result is written as Parquet and reread; `run` does the same in the shared folder.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandwise.llm import bpe, decontaminate, language_id, line_dedup, simhash
+from strandwise.llm.common import checkpoint, shared_folder, size_checked, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; text, declared language and source (as host) are the evidence."""
+    model = language_id.fit(docs)
+    out = language_id.identify(docs, model, F.col("text"), F.col("lang"), F.col("source"))
+    return out.where(language_id.accepted(F.col("language"), F.col("posterior"))).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of windows of three lines go; n_chars is that of the new text."""
+    out = line_dedup.dedup(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.representatives(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    named = checkpoint(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct())
+    return docs.join(size_checked(named, named.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the ids and of what they decode to."""
+    return bpe.encode_decode(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, keep_ids=True)
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_dedup", near_duplicates), ("decontaminate", leaks), ("bpe", tokens)]
 
-#: SQL can't express hashing with XXH64, trained language models or byte-pair merges; tests use brute force.
+#: SQL can't express trained language models, XXH64 fingerprints or byte-pair merges; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what a stage returns is written in the shared folder and reread by the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

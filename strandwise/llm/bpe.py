@@ -239,31 +239,31 @@ def tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
 
 
 def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """For each row: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids (array<long>) and decoded bytes.
+    """For each row: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids (array<int>).
 
     A null text is empty and has no tokens. Rows are independent: repeated rows and null ids give a row each; an empty
     table gives none. `ranks` (under 1 MB for the public vocabularies) is broadcast; whole texts are encoded.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    fields = [docs.schema[id_col], "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<long>", "decoded binary"] if keep_ids else [])]
+    fields = [docs.schema[id_col], "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>"] if keep_ids else [])]
     schema = ", ".join(f if isinstance(f, str) else f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(shared.value, pattern)
         for batch in batches:
-            n, hashes, back, all_ids, all_bytes = [], [], [], [], []
+            n, hashes, back, all_ids = [], [], [], []
             for ids in own.encode([x or "" for x in batch.column(1).to_pylist()]):
                 decoded = own.decode(ids)
                 n.append(len(ids))
                 hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 back.append(hashlib.sha256(decoded).hexdigest())
                 if keep_ids:
-                    all_ids.append(ids.astype(np.int64))
-                    all_bytes.append(decoded)
+                    all_ids.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
             if keep_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_bytes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
+                flat = np.concatenate(all_ids) if all_ids else np.empty(0, dtype="<u4")
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
 
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, schema)

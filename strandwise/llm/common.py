@@ -37,16 +37,20 @@ def ship(spark: SparkSession) -> None:
     sc._strandwise_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
     A folder of this machine is set only where the session names none (tests in local mode).
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandwise-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared folder; a lost executor takes nothing of it along."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

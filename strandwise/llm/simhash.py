@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandwise.llm.common import checkpoint, ship
 from strandwise.llm.components import components
@@ -58,7 +59,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
             out = [fingerprint(x or "", shingle) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, schema)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -100,3 +102,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = merged.groupBy("label").agg(F.min("first").alias("component"))
     of_fp = merged.join(least, "label").select("fp", "component")
     return fps.join(of_fp, "fp").select("id", "fp", "component")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """`docs` without near-duplicates: of each component the document of the least id (then text hash) stays.
+
+    Rows of equal id and text are one document and stay together. All columns stay.
+    """
+    one, two = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), one.alias("one"), two.alias("two")).alias("key"), F.col(text).alias("text"))
+    kept = near_duplicates(keyed, "key", "text", shingle).where(F.col("id").eqNullSafe(F.col("component"))).select("id.*").withColumnsRenamed({"id": "_id", "one": "_one", "two": "_two"})
+    own = docs.withColumns({"_own_one": one, "_own_two": two})
+    same = (F.col("_own_one") == F.col("_one")) & (F.col("_own_two") == F.col("_two")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return own.join(kept, same, "left_semi").drop("_own_one", "_own_two")
