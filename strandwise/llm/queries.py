@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import bpe, chat, decontaminate, language_id, license_scan, line_dedup, secrets, simhash, topk
+from strandwise.llm import bpe, chat, decontaminate, language_id, license_scan, line_dedup, pii, secrets, simhash, topk
 from strandwise.llm.common import table
 
 
@@ -68,6 +68,18 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of `documents`, by fixed rules and by bootstrapped contexts."""
+    out = pii.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return out.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("found")).alias("spans"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of `documents`, by fixed rules and by the trained Markov models."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,6 +109,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_pii": op8_pii,
     "op9_secret_scan": op9_secret_scan,
     "op10_simhash": op10_simhash,
 }
