@@ -48,6 +48,11 @@ def trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((key * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64) & (BUCKETS - 1), b[1:-1] != 32
 
 
+def padded(text: Column) -> Column:
+    """Lower case, with a space at both ends, so that a word of one letter has a trigram."""
+    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+
+
 def spans_of(column: pa.Array) -> Iterator[np.ndarray]:
     """The bytes of each string of an Arrow array, without copies; nulls are empty."""
     column = column.cast(pa.large_binary())
@@ -86,7 +91,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: st
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     share = min(1.0, train_rows / max(rows.count(), 1))
-    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000 + 1)).select(F.lower(label).alias("label"), F.lower(text).alias("t"))
+    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000 + 1)).select(F.lower(label).alias("label"), padded(F.col(text)).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -140,7 +145,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     parts = F.split(own, r"\.")
     rows = rows.select(
         F.struct(*rows.columns).alias("_row"),
-        scored(F.lower(F.coalesce(text, F.lit("")))).alias("_s"),
+        scored(padded(text)).alias("_s"),
         F.when(said.isin(names), said).when(said != "", "other").alias("_said"),
         own.alias("_host"),
         F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), ".").alias("_domain"),

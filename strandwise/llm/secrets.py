@@ -76,18 +76,19 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", train_row
     plain = sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{6,}"), F.lit(0))).alias("token"))
     counts = secret.unionByName(plain).groupBy("label", "token").count().select("label", "count", F.explode(bigrams(F.col("token"))).alias("pair")).groupBy("label", "pair").agg(F.sum("count").alias("n")).collect()
     size = len(ALPHABET) + 1
-    tables = [[SMOOTHING] * (size * size) for _ in range(2)]
+    tables = [[0.0] * (size * size) for _ in range(2)]
     for r in counts:
         tables[r["label"]][r["pair"]] += r["n"]
-    # the random model is pulled towards uniform over letters and digits with the weight of one full table
+    # each row of the random model is smoothed towards equal odds, of the ordinary one towards its characters' shares
+    shares = [sum(tables[0][cur::size]) + SMOOTHING for cur in range(size)]
+    shares = [x / sum(shares) for x in shares]
     ratio = [0.0] * (size * size)
     for prev in range(size):
         row = slice(prev * size, (prev + 1) * size)
-        rand = [x + size for x in tables[1][row]]
-        plain_row = tables[0][row]
-        total_r, total_p = sum(rand), sum(plain_row)
+        rand = [x + 1 for x in tables[1][row]]
+        plain = [x + size * p for x, p in zip(tables[0][row], shares, strict=True)]
         for cur in range(size):
-            ratio[prev * size + cur] = math.log2(rand[cur] / total_r) - math.log2(plain_row[cur] / total_p)
+            ratio[prev * size + cur] = math.log2(rand[cur] / sum(rand)) - math.log2(plain[cur] / sum(plain))
     return ratio
 
 
