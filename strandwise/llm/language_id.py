@@ -174,13 +174,14 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         return F.zip_with(votes, above, lambda v, p: (v + STRENGTH * p) / whole)
 
     world = F.array(*[F.lit(x) for x in globe])
+    by = by.withColumn("votes", F.transform("votes", lambda v, i: F.when(i < size - 1, v).otherwise(0.0)))  # und says nothing of a host
     domains = summed(by.where("_domain is not null"), "_domain").select(F.col("_domain").alias("d"), smoothed(F.col("votes"), world).alias("p_domain"))
     hosts = summed(by.where("_host is not null"), "_host", "_domain").withColumnsRenamed({"_host": "h", "_domain": "d"}).join(domains, "d").select("h", F.col("votes").alias("host_votes"), "p_domain")
     suffixes = summed(by.where("_suffix is not null"), "_suffix").select(F.col("_suffix").alias("x"), smoothed(F.col("votes"), world).alias("p_suffix"))
     hosts, suffixes = checkpoint(hosts), checkpoint(suffixes)
     rows = rows.join(size_checked(hosts, hosts.count()), rows["_host"] == hosts["h"], "left").join(size_checked(suffixes, suffixes.count()), rows["_suffix"] == suffixes["x"], "left")
 
-    less_own = F.transform(F.col("host_votes"), lambda v, i: v - F.when(i == F.col("_best"), 1.0).otherwise(0.0))
+    less_own = F.transform(F.col("host_votes"), lambda v, i: v - F.when((i == F.col("_best")) & (i < size - 1), 1.0).otherwise(0.0))
     prior = F.coalesce(smoothed(less_own, F.col("p_domain")), world)
     suffix = F.coalesce(F.zip_with(F.col("p_suffix"), world, lambda p, g: p / g), F.array(*[F.lit(1.0)] * size))
     evidence = F.array(*[F.lit(0.0)] * size)
