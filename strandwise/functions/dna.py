@@ -41,9 +41,13 @@ def chars(s: Column) -> Column:
 
 def hamming(a: Column, b: Column, most: int | None = None) -> Column:
     """Differing positions over the shorter length; null above `most`."""
-    n = F.least(F.length(a), F.length(b))
-    differ = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + (F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))).cast("int"))).otherwise(F.lit(0))
-    return differ if most is None else F.when(differ <= most, differ)
+
+    def differ(v: Column) -> Column:
+        n = F.least(F.length(v["a"]), F.length(v["b"]))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + (F.substr(v["a"], i, F.lit(1)) != F.substr(v["b"], i, F.lit(1))).cast("int"))).otherwise(F.lit(0))
+
+    found = F.when(a.isNotNull() & b.isNotNull(), let(F.struct(a.alias("a"), b.alias("b")), differ))
+    return found if most is None else let(found, lambda d: F.when(d <= most, d))
 
 
 def kmer_hash(s: Column) -> Column:
@@ -93,6 +97,11 @@ def unzigzag(z: Column) -> Column:
     return F.shiftrightunsigned(z, 1).bitwiseXOR(-(z.bitwiseAND(1)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` computed once, as a lambda variable and not a repeated expression."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def kmers(s: Column, k: int) -> Column:
     """All k-mers in order; none for a shorter sequence."""
     starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))
@@ -115,9 +124,11 @@ def minimizers(s: Column, k: int = 21, w: int = 11) -> Column:
 
     k-mers with N count as N's complement does; sequences shorter than k + w have none.
     """
-    canon = F.transform(kmers(s, k), lambda x: F.least(x, reverse_complement(x)))
-    least = F.when(F.length(s) >= k + w, F.transform(F.sequence(F.lit(1), F.length(s) - (k + w - 2)), lambda i: F.array_min(F.slice(canon, i, w)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(least, lambda x, i: (i == 0) | (x != F.get(least, i - 1)))
+    def least(canon: Column) -> Column:
+        return F.when(F.length(s) >= k + w, F.transform(F.sequence(F.lit(1), F.length(s) - (k + w - 2)), lambda i: F.array_min(F.slice(canon, i, w)))).otherwise(F.array().cast("array<string>"))
+
+    every = let(F.transform(kmers(s, k), lambda x: F.least(x, reverse_complement(x))), least)
+    return let(every, lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1))))
 
 
 def centre_windows(s: Column) -> Column:
@@ -131,13 +142,15 @@ def centre_windows(s: Column) -> Column:
 
 def profile(values: Column, bins: int) -> Column:
     """Integer means of `bins` stretches of an array (bounds b * n / bins)."""
-    n = F.size(values)
 
-    def mean(b: Column) -> Column:
-        lo, hi = F.floor(b * n / bins).cast("int"), F.floor((b + 1) * n / bins).cast("int")
-        return F.when(hi > lo, F.floor(F.aggregate(F.slice(values, lo + 1, hi - lo), F.lit(0), lambda a, x: a + x) / (hi - lo))).otherwise(0)
+    def means(v: Column) -> Column:
+        def mean(b: Column) -> Column:
+            lo, hi = F.floor(b * F.size(v) / bins).cast("int"), F.floor((b + 1) * F.size(v) / bins).cast("int")
+            return F.when(hi > lo, F.floor(F.aggregate(F.slice(v, lo + 1, hi - lo), F.lit(0), lambda a, x: a + x) / (hi - lo))).otherwise(0)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: mean(b))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), mean)
+    return let(values, means)
 
 
 def mod4_delta(s: Column, before: Column) -> Column:

@@ -58,23 +58,29 @@ def unitigs(reads: DataFrame, k: int = 21, least: int = 2) -> DataFrame:
     out = links.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
     into = links.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a")).where("n = 1")
     sole = checkpoint(out.select("a", "b").join(into.select("a", "b"), ["a", "b"]).where("a <> b"))
-    sole = cut_circles(nodes, sole)
-    # anc: the node so many steps before, or the head of the path
-    state = checkpoint(nodes.join(sole, nodes["x"] == sole["b"], "left").select("x", F.coalesce("a", "x").alias("anc"), F.when(F.col("a").isNotNull(), 1).otherwise(0).cast("long").alias("steps")))
-    while True:
-        ahead = state.select(F.col("x").alias("anc"), F.col("anc").alias("next"), F.col("steps").alias("more"))
-        moved = checkpoint(state.join(ahead, "anc").select("x", F.col("anc").alias("was"), F.col("next").alias("anc"), (F.col("steps") + F.col("more")).alias("steps")))
-        state = moved.select("x", "anc", "steps")
-        if moved.where("was <> anc").isEmpty():
-            break
+    state = ranks(nodes, sole)
     paths = state.groupBy("anc").agg(F.sort_array(F.collect_list(F.struct("steps", F.right("x", F.lit(1)).alias("base")))).alias("s"))
     whole = paths.select(F.concat(F.substr("anc", F.lit(1), F.lit(k - 1)), F.array_join(F.transform("s", lambda x: x["base"]), "")).alias("seq"))
     return whole.groupBy(dna.canonical(F.col("seq")).alias("seq")).agg(F.count("*").alias("strands"))
 
 
-def cut_circles(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """`links` (a, b) without the one into the least node of every component that has no head."""
-    labels = checkpoint(components(links))
-    heads = nodes.join(links.select(F.col("b").alias("x")), "x", "left_anti").join(labels, F.col("x") == F.col("node")).select("label").distinct()
-    circles = labels.select("label").distinct().join(heads, "label", "left_anti").select(F.col("label").alias("b"))
-    return links.join(circles, "b", "left_anti").select("a", "b")
+def ranks(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(x, anc, steps): the head of every node's path and the steps from it, by pointer doubling over links (a, b).
+
+    Nodes of circles find no head; once the rounds reach as far as there are such nodes, each circle is cut before its
+    least node and ranked as a path.
+    """
+    begin = nodes.join(links, nodes["x"] == links["b"], "left").select("x", F.coalesce("a", "x").alias("anc"), F.when(F.col("a").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("a").isNotNull().alias("open"), F.least("x", "a").alias("low"))
+    state, reach = checkpoint(begin), 1
+    while True:
+        ahead = state.select(F.col("x").alias("anc"), F.col("anc").alias("next"), F.col("steps").alias("more"), F.col("open").alias("still"), F.col("low").alias("least"))
+        state = checkpoint(state.join(ahead, "anc").select("x", F.col("next").alias("anc"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"), F.least("low", "least").alias("low")))
+        left, reach = state.where("open").count(), reach * 2
+        if left == 0 or reach > left:
+            break
+    done = state.where("not open").select("x", "anc", "steps")
+    if left == 0:
+        return done
+    circles = checkpoint(state.where("open").select("x", "low"))
+    within = links.join(circles, links["b"] == circles["x"]).where("b <> low").select("a", "b")
+    return done.unionByName(ranks(circles.select("x"), within))

@@ -41,11 +41,11 @@ def adaptive_bits(df: DataFrame, symbol: str, context: list[str], alphabet: int)
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The element at n div 2 of each group's sorted values, from counts of equal values."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    listed = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("n")))).alias("c"), F.sum("n").alias("total"))
-    at = F.floor(F.col("total") / 2)
+    listed = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("n")))).alias("_listed"), F.sum("n").alias("_total"))
+    at = F.floor(F.col("_total") / 2)
     found = F.aggregate(
-        "c",
+        "_listed",
         F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(df.schema[value].dataType).alias("v")),
         lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["seen"] <= at) & (a["seen"] + x["n"] > at), x["v"]).otherwise(a["v"]).alias("v")),
     )["v"]
-    return listed.select(*by, found.alias("median"), "total")
+    return listed.select(*by, found.alias("median"), F.col("_total").alias("total"))

@@ -107,7 +107,7 @@ def base_entropy_by_position(spark, sf_dir):
     return stats.entropy(bases(reads(spark, sf_dir)), "base", ["pos"])
 
 
-@query(sql("SELECT k, round(sum(n * log2(n * t / (a * b))) / max(t), 6) mi, max(t)::BIGINT n FROM (SELECT k, n, sum(n) OVER (PARTITION BY k) t, sum(n) OVER (PARTITION BY k, c) a, sum(n) OVER (PARTITION BY k, base) b FROM (SELECT 1 k, p1 c, base, count(*) n FROM hist WHERE p1 IS NOT NULL GROUP BY ALL UNION ALL SELECT 2, p2, base, count(*) FROM hist WHERE p2 IS NOT NULL GROUP BY ALL UNION ALL SELECT 3, p3, base, count(*) FROM hist WHERE p3 IS NOT NULL GROUP BY ALL)) GROUP BY k", HISTORY))
+@query(sql("SELECT k::BIGINT k, round(sum(n * log2(n * t / (a * b))) / max(t), 6) mi, max(t)::BIGINT n FROM (SELECT k, n, sum(n) OVER (PARTITION BY k) t, sum(n) OVER (PARTITION BY k, c) a, sum(n) OVER (PARTITION BY k, base) b FROM (SELECT 1 k, p1 c, base, count(*) n FROM hist WHERE p1 IS NOT NULL GROUP BY ALL UNION ALL SELECT 2, p2, base, count(*) FROM hist WHERE p2 IS NOT NULL GROUP BY ALL UNION ALL SELECT 3, p3, base, count(*) FROM hist WHERE p3 IS NOT NULL GROUP BY ALL)) GROUP BY k", HISTORY))
 def mutual_information_previous_bases(spark, sf_dir):
     """I(base; k bases before it) for k = 1, 2, 3, as H(base) + H(context) - H(base, context)."""
     long = history(reads(spark, sf_dir))
@@ -172,17 +172,17 @@ def base_composition_entropy(spark, sf_dir):
     return reads(spark, sf_dir).select("ord", (F.round(dna.composition_entropy(F.col("seq")), 6) + 0.0).alias("h"), dna.count_of(F.col("seq"), "N").alias("n_count"))
 
 
-@query(sql("SELECT ord, d, CASE WHEN d <= 110 THEN d END within FROM (SELECT ord, (SELECT count(*) FROM (SELECT unnest(range(1, least(length(seq), length(p)) + 1)) i) WHERE substr(seq, i, 1) <> substr(p, i, 1)) d FROM (SELECT ord, seq, lag(seq) OVER (PARTITION BY chunk ORDER BY ord) p FROM reads) WHERE p IS NOT NULL)"))
+@query(sql("SELECT ord, d, CASE WHEN d <= 110 THEN d END AS near FROM (SELECT ord, (SELECT count(*) FROM (SELECT unnest(range(1, least(length(seq), length(p)) + 1)) i) WHERE substr(seq, i, 1) <> substr(p, i, 1)) d FROM (SELECT ord, seq, lag(seq) OVER (PARTITION BY chunk ORDER BY ord) p FROM reads) WHERE p IS NOT NULL)"))
 def hamming_previous_read(spark, sf_dir):
     w = Window.partitionBy("chunk").orderBy("ord")
     own = reads(spark, sf_dir).select("ord", "seq", F.lag("seq").over(w).alias("p")).where("p is not null")
-    return own.select("ord", dna.hamming(F.col("seq"), F.col("p")).alias("d"), dna.hamming(F.col("seq"), F.col("p"), 110).alias("within"))
+    return own.select("ord", dna.hamming(F.col("seq"), F.col("p")).alias("d"), dna.hamming(F.col("seq"), F.col("p"), 110).alias("near"))
 
 
 HASH = lambda x, k: f"list_reduce(list_transform(range(1, {k} + 1), lambda i: (instr('CGT', substr({x}, i, 1)))::BIGINT), lambda a, b: a * 4 + b)"
 
 
-@query(sql(f"SELECT ord, pos, {HASH('x', 21)} hash, x kmer, {HASH(rc('x'), 21)} reverse, {HASH('x', 21)} >> 34 hint FROM (SELECT ord, 0 pos, substr(seq, 1, 21) x FROM reads WHERE length(seq) >= 21) WHERE x NOT LIKE '%N%'"))
+@query(sql(f"SELECT ord, pos, {HASH('x', 21)} hash, x kmer, {HASH(rc('x'), 21)} reverse, {HASH('x', 21)} >> 34 hint FROM (SELECT ord, 0::BIGINT pos, substr(seq, 1, 21) x FROM reads WHERE length(seq) >= 21) WHERE x NOT LIKE '%N%'"))
 def kmer_hashes(spark, sf_dir):
     """Hash of each read's first 21-mer, the k-mer from the hash, the hash of its reverse complement and its hint."""
     h = dna.kmer_hash(F.substr("seq", F.lit(1), F.lit(21)))
@@ -268,13 +268,16 @@ def open_syncmer_keys(spark, sf_dir):
     return own.select("ord", "s.kmer", "s.pos")
 
 
-@query(sql(f"SELECT substr(x, 1, 4) kmer, substr(x, 5, 1) base, count(*) n, row_number() OVER (PARTITION BY substr(x, 1, 4) ORDER BY count(*) DESC, substr(x, 5, 1)) - 1 AS rank FROM {sql_kmers(5)} GROUP BY ALL"))
+NEXT = f"(SELECT kmer, base, n, row_number() OVER (PARTITION BY kmer ORDER BY n DESC, base) - 1 AS rank FROM (SELECT substr(x, 1, 4) kmer, substr(x, 5, 1) base, count(*) n FROM {sql_kmers(5)} GROUP BY ALL))"
+
+
+@query(sql(f"SELECT * FROM {NEXT}"))
 def next_base_table(spark, sf_dir):
     """How often each base follows a 4-mer, with the rank that recoding gives it."""
     return kmers.next_base(reads(spark, sf_dir), 4)
 
 
-@query(sql(f"SELECT chunk, rank, count(*) n FROM {sql_kmers(5)} k JOIN (SELECT substr(x, 1, 4) c, substr(x, 5, 1) b, row_number() OVER (PARTITION BY substr(x, 1, 4) ORDER BY count(*) DESC, substr(x, 5, 1)) - 1 AS rank FROM {sql_kmers(5)} GROUP BY ALL) t ON substr(k.x, 1, 4) = t.c AND substr(k.x, 5, 1) = t.b GROUP BY ALL"))
+@query(sql(f"SELECT chunk, rank, count(*) n FROM {sql_kmers(5)} k JOIN {NEXT} t ON substr(k.x, 1, 4) = t.kmer AND substr(k.x, 5, 1) = t.base GROUP BY ALL"))
 def rank_recode(spark, sf_dir):
     """Ranks of bases under the 4 before them: counts by chunk. The table has at most 1024 rows, so it is broadcast."""
     r = reads(spark, sf_dir)
@@ -294,7 +297,8 @@ def debruijn_degrees(spark, sf_dir):
 # ---- qualities
 
 def sql_map(f) -> str:
-    return f"translate(qual, '{PHREDS}', '{''.join(chr(33 + f(ord(c) - 33)) for c in PHREDS)}')"
+    to = "".join(chr(33 + f(ord(c) - 33)) for c in PHREDS).replace("'", "''")
+    return f"translate(qual, '{PHREDS}', '{to}')"
 
 
 @query(sql(f"SELECT ord, {sql_map(quality.eight_level)} illumina8, {sql_map(quality.four_level)} four, {sql_map(quality.binary)} bin2, repeat('!', length(qual)) discard FROM reads"))
