@@ -23,9 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out anew if it has fewer partitions than the cluster has cores (one small file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, chunk, h, seq, qual). chunk is the document; h a dense number for the alignment carrier."""
-    letters = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("t")).where("length(t) > 0")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    letters = docs.select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("t")).where("length(t) > 0")
     mapped = letters.select("doc_id", F.translate("t", LETTERS, BASES).alias("b"), F.translate("t", LETTERS, QUALS).alias("q"))
     cut = mapped.select("*", F.explode(F.expr(f"sequence(0, (length(b) - 1) div {READ})")).alias("k"))
     return cut.selectExpr("doc_id * 1000000 + k as ord", "doc_id as chunk", "doc_id * 7 + k as h", f"substr(b, cast(k * {READ} + 1 as int), {READ}) as seq", f"substr(q, cast(k * {READ} + 1 as int), {READ}) as qual")
