@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwise.llm import bpe, chat, decontaminate, language_id, license_scan, line_dedup, pii, secrets, simhash, topk
 from strandwise.llm.common import table
+from strandwise.llm.oracles import ORACLE_SQL
 
 
 #: Parts of a page that hold no text of its own.
@@ -114,4 +115,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
