@@ -70,12 +70,7 @@ HISTORY = (
 
 
 def models(spark: SparkSession, sf_dir: str, symbol: str, contexts: dict[str, str]) -> DataFrame:
-    long = history(reads(spark, sf_dir))
-    out = None
-    for name, context in contexts.items():
-        one = stats.entropy(long, symbol, [x for x in context.split(", ") if x]).select(F.lit(name).alias("model"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return stats.entropies(history(reads(spark, sf_dir)), symbol, {name: [x for x in context.split(", ") if x] for name, context in contexts.items()})
 
 
 def sql_models(symbol: str, contexts: dict[str, str]) -> str:
