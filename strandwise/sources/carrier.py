@@ -46,7 +46,7 @@ def bases(df: DataFrame) -> DataFrame:
 
 def hdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, header) in the layout of sequencer run headers."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")).selectExpr(
         "event_id as ord",
         "concat('@SIM:1:FC', user_id % 3, ':', event_id % 4 + 1, ':', 1101 + event_id % 50, ':', (event_id * 37) % 20000, ':', (event_id * 53) % 30000, ' 1:N:0:', event_type) as header",
     )
