@@ -521,11 +521,6 @@ def read_components(spark, sf_dir):
     return graph.read_groups(reads(spark, sf_dir))
 
 
-@query(None)
-def unitig_sequences(spark, sf_dir):
-    return graph.unitigs(reads(spark, sf_dir), 21, 2)
-
-
 # ---- reports
 
 @query(sql("SELECT chunk, min(length(seq)) = max(length(seq)) AS constant, CASE WHEN min(length(seq)) = max(length(seq)) THEN min(length(seq)) ELSE 0 END const_length FROM reads GROUP BY chunk"))
