@@ -108,15 +108,29 @@ def kmers(s: Column, k: int) -> Column:
     return F.transform(starts, lambda i: F.substr(s, i, F.lit(k)))
 
 
+def canonical_kmers(s: Column, k: int) -> Column:
+    """All k-mers in order, each the lesser of its strands, cut from the read and from its reverse complement."""
+
+    def cut(v: Column) -> Column:
+        n = F.length(v["f"])
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.least(F.substr(v["f"], i, F.lit(k)), F.substr(v["r"], n - i - (k - 2), F.lit(k))))
+
+    return let(F.struct(s.alias("f"), reverse_complement(s).alias("r")), cut)
+
+
 def open_syncmer(s: Column, k: int = 21, m: int = 10) -> Column:
     """struct<kmer, pos>: the least canonical k-mer whose least m-mer stands at its start; the leftmost of equals.
 
     k-mers with letters other than A, C, G and T take no part; null if none is left.
     """
-    every = F.transform(kmers(s, k), lambda x, i: F.struct(x.alias("x"), i.alias("pos")))
-    start = lambda x: F.substr(x, F.lit(1), F.lit(m)) == F.array_min(F.transform(F.sequence(F.lit(1), F.lit(k - m + 1)), lambda j: F.substr(x, j, F.lit(m))))
-    own = F.filter(every, lambda e: F.when(e["x"].rlike("^[ACGT]+$"), start(e["x"])).otherwise(False))
-    return F.array_min(F.transform(own, lambda e: F.struct(F.least(e["x"], reverse_complement(e["x"])).alias("kmer"), e["pos"].alias("pos"))))
+
+    def chosen(v: Column) -> Column:
+        own = F.filter(F.sequence(F.lit(1), F.size(v["k"])), lambda i: F.get(v["m"], i - 1) == F.array_min(F.slice(v["m"], i, k - m + 1)))
+        pairs = F.transform(own, lambda i: F.struct(F.get(v["k"], i - 1).alias("kmer"), (i - 1).alias("pos")))
+        return F.array_min(F.filter(pairs, lambda p: ~p["kmer"].rlike("[^ACGT]")))
+
+    return F.when(F.length(s) >= k, let(F.struct(canonical_kmers(s, k).alias("k"), kmers(s, m).alias("m")), chosen))
 
 
 def minimizers(s: Column, k: int = 21, w: int = 11) -> Column:
@@ -124,11 +138,11 @@ def minimizers(s: Column, k: int = 21, w: int = 11) -> Column:
 
     k-mers with N count as N's complement does; sequences shorter than k + w have none.
     """
+
     def least(canon: Column) -> Column:
         return F.when(F.length(s) >= k + w, F.transform(F.sequence(F.lit(1), F.length(s) - (k + w - 2)), lambda i: F.array_min(F.slice(canon, i, w)))).otherwise(F.array().cast("array<string>"))
 
-    every = let(F.transform(kmers(s, k), lambda x: F.least(x, reverse_complement(x))), least)
-    return let(every, lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1))))
+    return let(let(canonical_kmers(s, k), least), lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1))))
 
 
 def centre_windows(s: Column) -> Column:
