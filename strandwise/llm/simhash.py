@@ -11,43 +11,67 @@ share a segment, pairs of them aren't formed: every member emits all points with
 that meet in a point are linked to the least of them if one of them is within 1 bit of it. Two fingerprints within 3
 bits always meet so, and any that are linked so are joined by links of 3 bits or fewer: the components are the same,
 and the rows grow with the number of members and not with its square.
+
+`similar_representatives` finds near copies by the similarity of word shingles, where 3 bits of 64 are too strict: a
+wide fingerprint of several times 64 bits is searched in the same way, each of its segments of 32 bits with a ball of
+one bit, and candidates are verified on all bits and then on their exact shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwise.llm.common import checkpoint, ship
+from strandwise.llm.common import checkpoint, ship, size_checked
 from strandwise.llm.components import components
 
 #: Words of a shingle, the seed of its hash, the most differing bits, and the segment size from which pairs aren't formed.
 SHINGLE, SEED, BITS, DENSE = 3, 42, 3, 64
 
+#: Similarity search: least Jaccard similarity, words of a shingle and 64-bit words of the wide fingerprint that finds
+#: candidates, the largest crowd that is compared in pairs, and salts of a hub.
+SIMILAR, PROBE, LONGS, CROWD, SALTS = 0.8, 2, 5, 8, 16
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a whole text, as a signed 64-bit integer. Words are cut by ASCII white space."""
+
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included. Words are cut by ASCII white space; no words: none."""
     words = text.encode("utf-8").lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
-    if len(words) < shingle:
-        parts = iter([b" ".join(words)])
-        n = 1
-    else:
-        n = len(words) - shingle + 1
-        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts, repeat(seed))), dtype=np.uint8).reshape(n, 8)
+        return np.empty(0, dtype=np.uint64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts, repeat(seed))), dtype=">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of `hashes`, as a signed 64-bit integer."""
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
-        ones += np.unpackbits(digests[k : k + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a whole text, as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def wide_fingerprint(text: str, shingle: int, longs: int) -> list[int]:
+    """`longs` fingerprints of the distinct shingles, each under another mixing of their hashes (splitmix64)."""
+    hashes, out = np.unique(shingle_hashes(text, shingle)), []
+    for m in range(longs):
+        z = hashes + np.uint64(m * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(z ^ (z >> np.uint64(31))))
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -63,14 +87,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, schema)
 
 
+def ball_of_one() -> Column:
+    """What turns the 32-bit segment `seg` into itself and into those with one more bit set."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    return F.concat(F.array(F.lit(0).cast("long")), F.filter(bits, lambda m: F.col("seg").bitwiseAND(m) == 0))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all pairs within 3 bits."""
     half = F.array(F.struct(F.shiftrightunsigned("fp", 32).alias("seg"), F.lit(0).alias("k")), F.struct(F.col("fp").bitwiseAND(0xFFFFFFFF).alias("seg"), F.lit(1).alias("k")))
     segments = distinct.select("fp", F.explode(half).alias("s")).select("fp", F.col("s.seg").alias("seg"), (F.col("s.seg") + F.shiftleft(F.col("s.k").cast("long"), 32)).alias("key"))
     table = segments.select(F.col("fp").alias("other"), "key")
     buckets = table.groupBy("key").agg(F.count("*").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"))
-    ball = F.concat(F.array(F.lit(0).cast("long")), F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda m: F.col("seg").bitwiseAND(m) == 0))
-    probes = segments.select("fp", F.explode(ball).alias("m"), "key").select("fp", (F.col("key") + F.col("m")).alias("key"))
+    probes = segments.select("fp", F.explode(ball_of_one()).alias("m"), "key").select("fp", (F.col("key") + F.col("m")).alias("key"))
     met = checkpoint(probes.join(buckets, "key").where("lo <> fp or hi <> fp").select("fp", "key", "n"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= BITS
     few = met.where(F.col("n") <= DENSE)
@@ -115,3 +144,96 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     own = docs.withColumns({"_own_one": one, "_own_two": two})
     same = (F.col("_own_one") == F.col("_one")) & (F.col("_own_two") == F.col("_two")) & F.col(id_col).eqNullSafe(F.col("_id"))
     return own.join(kept, same, "left_semi").drop("_own_one", "_own_two")
+
+
+def mapped(rows: DataFrame, of: Callable[[str], list[int]], out: str) -> DataFrame:
+    """(key, `out`: array<long>) of `rows` (key, text): `of` applied to every whole text."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [of(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["key", out])
+
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField(out, T.ArrayType(T.LongType()))])
+    return rows.select("key", "text").mapInArrow(run, schema)
+
+
+def neighbours(wide: DataFrame) -> DataFrame:
+    """(node, key): the places in the tables where a node of `wide` (node, fp) meets another within a ball of one bit."""
+    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(0xFFFFFFFF))))
+    segments = wide.select("node", F.posexplode(halves).alias("k", "seg")).select("node", "seg", (F.col("seg") + F.shiftleft(F.col("k").cast("long"), 32)).alias("key"))
+    buckets = segments.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    probes = segments.select("node", F.explode(ball_of_one()).alias("m"), "key").select("node", (F.col("key") + F.col("m")).alias("key"))
+    met = probes.join(buckets, "key").where("lo <> node or hi <> node").select("node", "key")
+    # a node that is alone in its own bucket is met there by those that probe it
+    probed = met.select("key").distinct().join(segments.select("node", "key"), "key").select("node", "key")
+    return met.unionByName(probed).distinct()
+
+
+def verified(edges: DataFrame, known: DataFrame, limit: int, similar: float) -> DataFrame:
+    """The `edges` (a, b) whose fingerprints differ in at most `limit` bits and whose shingle sets are similar enough.
+
+    Many edges may share b, so the rows of `known` (node, fp, s) meet it under SALTS salts.
+    """
+    hubs = edges.select(F.col("b").alias("node")).distinct().join(known, "node")
+    hubs = hubs.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = known.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
+    both = edges.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(hubs, ["b", "salt"]).join(own, "a")
+    differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where((differing <= limit) & (shared / (F.size("sa") + F.size("sb") - shared) >= similar)).select("a", "b")
+
+
+def similar_links(texts: DataFrame, wide: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """Edges (a, b) between the nodes of `wide` (node, key, fp) whose sets of word shingles have a Jaccard similarity of `similar` or more.
+
+    `texts` (key, text) has the text of every node's key. Up to CROWD nodes that meet in one place are compared in
+    pairs. Larger crowds are compared with four hubs, and those that are like none of the hubs with four more, until
+    none is left, so no crowd makes all its pairs.
+    """
+    met = checkpoint(neighbours(wide))
+    near = checkpoint(met.select("node").distinct().join(wide, "node"))
+    wanted = near.select(F.col("key").alias("_key"))
+    read = texts.join(size_checked(wanted, near.count()), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    sets = mapped(read, lambda t: np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() or [0], "s")
+    sets = sets.select(F.col("key.node").alias("node"), "s").dropDuplicates(["node"])
+    known = checkpoint(near.select("node", "fp").join(sets, "node"))
+    limit = 64 * LONGS * 3 // 8  # unrelated texts differ in half of the bits
+    sized = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key")
+    few = sized.where(F.col("n") <= CROWD).select("key", "node")
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    found = [checkpoint(verified(pairs, known, limit, similar))]
+    waiting = checkpoint(sized.where(F.col("n") > CROWD).select("key", "node"))
+    while not waiting.isEmpty():
+        mixed = [F.min_by("node", F.xxhash64("node", F.lit(2 * len(found) + i))) for i in range(2)]
+        hubs = waiting.groupBy("key").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), *mixed)).alias("hubs"))
+        tested = checkpoint(waiting.join(hubs, "key").select("key", F.col("node").alias("a"), F.explode("hubs").alias("b")))
+        like = checkpoint(verified(tested.select("a", "b").where("a <> b").distinct(), known, limit, similar))
+        found.append(like)
+        done = tested.join(like, ["a", "b"], "left_semi").unionByName(tested.where("a = b")).select("key", F.col("a").alias("node")).distinct()
+        waiting = checkpoint(waiting.join(done, ["key", "node"], "left_anti"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """`docs` with one document of each group of near copies, that of the least id (then text hash).
+
+    Groups are components of the links of `similar_links`. Texts are known by a 64-bit hash. Null texts and texts
+    without words are alike. Rows of equal id and text are one document and stay together; null ids count as least.
+    All columns stay. An empty table gives no rows. Texts are read twice (the second time those with candidates) and
+    are shuffled only where more documents go than a broadcast takes.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(body).alias("node"))
+    texts = docs.select(key.alias("key"), body.alias("text"))
+    rows = checkpoint(mapped(texts, lambda t: wide_fingerprint(t, PROBE, LONGS), "fp").withColumn("node", F.col("key.node")))
+    wide = checkpoint(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp")))
+    labels = components(similar_links(texts, wide, shingle, similar))
+    merged = wide.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+    kept = merged.groupBy("label").agg(F.min("key").alias("kept"))
+    of_node = merged.join(kept, "label").select("node", "kept")
+    gone = checkpoint(rows.select("node", "key").join(of_node, "node").where(~F.col("key").eqNullSafe(F.col("kept"))).select(F.col("key.id").alias("_id"), F.col("key.node").alias("_node")).distinct())
+    marked = docs.withColumn("_own_node", F.xxhash64(body))
+    match = (F.col("_own_node") == F.col("_node")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return marked.join(size_checked(gone, gone.count()), match, "left_anti").drop("_own_node")

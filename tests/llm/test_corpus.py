@@ -140,3 +140,41 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns
     assert kept == [[0, 1, 2, 4, 5, 6], [0, 1, 2, 4, 5, 6], [0, 2, 4, 5, 6], [0, 2, 5, 6], [0, 2, 5, 6]]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {0, 2, 5, 6}
+
+
+def test_similar_representatives_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randint(80, 300))
+        texts.append(base)
+        for _ in range(3):
+            own = list(base)
+            own[rng.randrange(len(own))] = "changed"
+            texts.append(own)
+    hot = rng.choices(vocabulary, k=200)
+    for _ in range(60):  # a crowd of near copies of one text
+        own = list(hot)
+        own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(own)
+    rows = [(i, " ".join(w), i) for i, w in enumerate(texts)]
+    rows += [(900, rows[0][1], 1), (901, "", 1), (902, None, 1), (903, "two words", 1), (None, "no id here at all", 1), (904, "two other", 1)]
+
+    def shingles(text):
+        w = (text or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want = {min((rows[i][0] is not None, rows[i][0] or 0) for i in range(len(rows)) if group[i] == g) for g in group}
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    kept = simhash.similar_representatives(df)
+    assert kept.columns == df.columns
+    assert {(r["doc_id"] is not None, r["doc_id"] or 0) for r in kept.collect()} == want
+    assert simhash.similar_representatives(df.limit(0)).isEmpty()
