@@ -37,8 +37,9 @@ from strandwise.llm.components import components
 SHINGLE, SEED, BITS, DENSE = 3, 42, 3, 64
 
 #: Similarity search: least Jaccard similarity, words of a shingle and 64-bit words of the wide fingerprint that finds
-#: candidates, the largest crowd that is compared in pairs, and salts of a hub.
-SIMILAR, PROBE, LONGS, CROWD, SALTS = 0.8, 2, 5, 8, 16
+#: candidates, the share of its bits beyond which texts are unlike (unrelated texts differ in half), the largest crowd
+#: that is compared in pairs, salts of a hub, and values that a Python worker sends at once.
+SIMILAR, PROBE, LONGS, FAR, CROWD, SALTS, FLUSH = 0.8, 2, 5, 0.25, 8, 16, 1 << 18
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -58,12 +59,18 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes; a text without words has one of its own."""
+    hashes = np.unique(shingle_hashes(text, shingle)).view(np.int64)
+    return hashes if len(hashes) else np.zeros(1, dtype=np.int64)
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of a whole text, as a signed 64-bit integer."""
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def wide_fingerprint(text: str, shingle: int, longs: int) -> list[int]:
+def wide_fingerprint(text: str, shingle: int, longs: int) -> np.ndarray:
     """`longs` fingerprints of the distinct shingles, each under another mixing of their hashes (splitmix64)."""
     hashes, out = np.unique(shingle_hashes(text, shingle)), []
     for m in range(longs):
@@ -71,7 +78,7 @@ def wide_fingerprint(text: str, shingle: int, longs: int) -> list[int]:
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out.append(majority(z ^ (z >> np.uint64(31))))
-    return out
+    return np.array(out, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -146,14 +153,24 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return own.join(kept, same, "left_semi").drop("_own_one", "_own_two")
 
 
-def mapped(rows: DataFrame, of: Callable[[str], list[int]], out: str) -> DataFrame:
-    """(key, `out`: array<long>) of `rows` (key, text): `of` applied to every whole text."""
+def mapped(rows: DataFrame, of: Callable[[str], np.ndarray], out: str) -> DataFrame:
+    """(key, `out`: array<long>) of `rows` (key, text): `of` applied to every whole text.
+
+    Results leave in batches of about FLUSH values, so a worker holds one input batch and little more.
+    """
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [of(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["key", out])
+            keys, texts, values, start, held = batch.column(0), batch.column(1), [], 0, 0
+            for i in range(len(texts)):
+                values.append(of(texts[i].as_py()))
+                held += len(values[-1])
+                if i + 1 == len(texts) or held >= FLUSH:
+                    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(values)), lists], names=["key", out])
+                    start, values, held = i + 1, [], 0
 
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField(out, T.ArrayType(T.LongType()))])
     return rows.select("key", "text").mapInArrow(run, schema)
@@ -171,18 +188,24 @@ def neighbours(wide: DataFrame) -> DataFrame:
     return met.unionByName(probed).distinct()
 
 
-def verified(edges: DataFrame, known: DataFrame, limit: int, similar: float) -> DataFrame:
-    """The `edges` (a, b) whose fingerprints differ in at most `limit` bits and whose shingle sets are similar enough.
+def attached(edges: DataFrame, table: DataFrame, value: str, salts: int) -> DataFrame:
+    """`edges` (a, b) with the `value` of both nodes in `table` as va, vb. Where many share b, it meets its value under `salts` salts."""
+    hubs = edges.select(F.col("b").alias("node")).distinct().join(table, "node")
+    hubs = hubs.select(F.col("node").alias("b"), F.col(value).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = edges.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
+    return salted.join(hubs, ["b", "salt"]).join(table.select(F.col("node").alias("a"), F.col(value).alias("va")), "a")
 
-    Many edges may share b, so the rows of `known` (node, fp, s) meet it under SALTS salts.
-    """
-    hubs = edges.select(F.col("b").alias("node")).distinct().join(known, "node")
-    hubs = hubs.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = known.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
-    both = edges.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(hubs, ["b", "salt"]).join(own, "a")
-    differing = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where((differing <= limit) & (shared / (F.size("sa") + F.size("sb") - shared) >= similar)).select("a", "b")
+
+def close(edges: DataFrame, wide: DataFrame, salts: int = 1) -> DataFrame:
+    """The `edges` whose wide fingerprints differ in at most FAR of all bits."""
+    differing = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return attached(edges, wide, "fp", salts).where(differing <= F.size("va") * 64 * FAR).select("a", "b")
+
+
+def alike(edges: DataFrame, sets: DataFrame, similar: float, salts: int = 1) -> DataFrame:
+    """The `edges` whose shingle sets have a Jaccard similarity of `similar` or more."""
+    shared = F.size(F.array_intersect("va", "vb"))
+    return attached(edges, sets, "s", salts).where(shared / (F.size("va") + F.size("vb") - shared) >= similar).select("a", "b")
 
 
 def similar_links(texts: DataFrame, wide: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -193,23 +216,21 @@ def similar_links(texts: DataFrame, wide: DataFrame, shingle: int = 5, similar:
     none is left, so no crowd makes all its pairs.
     """
     met = checkpoint(neighbours(wide))
-    near = checkpoint(met.select("node").distinct().join(wide, "node"))
-    wanted = near.select(F.col("key").alias("_key"))
-    read = texts.join(size_checked(wanted, near.count()), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-    sets = mapped(read, lambda t: np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() or [0], "s")
-    sets = sets.select(F.col("key.node").alias("node"), "s").dropDuplicates(["node"])
-    known = checkpoint(near.select("node", "fp").join(sets, "node"))
-    limit = 64 * LONGS * 3 // 8  # unrelated texts differ in half of the bits
     sized = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key")
     few = sized.where(F.col("n") <= CROWD).select("key", "node")
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    found = [checkpoint(verified(pairs, known, limit, similar))]
+    pairs = checkpoint(close(pairs, wide))
     waiting = checkpoint(sized.where(F.col("n") > CROWD).select("key", "node"))
+    near = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(waiting.select("node")).distinct()
+    wanted = checkpoint(near.join(wide, "node").select(F.col("key").alias("_key")))
+    read = texts.join(size_checked(wanted, wanted.count()), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    sets = checkpoint(mapped(read, lambda t: shingle_set(t, shingle), "s").select(F.col("key.node").alias("node"), "s").dropDuplicates(["node"]))
+    found = [checkpoint(alike(pairs, sets, similar))]
     while not waiting.isEmpty():
         mixed = [F.min_by("node", F.xxhash64("node", F.lit(2 * len(found) + i))) for i in range(2)]
         hubs = waiting.groupBy("key").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), *mixed)).alias("hubs"))
         tested = checkpoint(waiting.join(hubs, "key").select("key", F.col("node").alias("a"), F.explode("hubs").alias("b")))
-        like = checkpoint(verified(tested.select("a", "b").where("a <> b").distinct(), known, limit, similar))
+        like = checkpoint(alike(checkpoint(close(tested.select("a", "b").where("a <> b").distinct(), wide, SALTS)), sets, similar, SALTS))
         found.append(like)
         done = tested.join(like, ["a", "b"], "left_semi").unionByName(tested.where("a = b")).select("key", F.col("a").alias("node")).distinct()
         waiting = checkpoint(waiting.join(done, ["key", "node"], "left_anti"))
