@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandwise.llm.common import ship
 
 #: Widths of the buckets, the pieces that are remembered between groups of texts, and the characters of a group.
-BUCKETS, REMEMBERED, GROUP_CHARS = (2, 4, 6, 8, 12, 16, 24, 32, 64), 500_000, 2_000_000
+BUCKETS, REMEMBERED, GROUP_CHARS, SLICE = (2, 4, 6, 8, 12, 16, 24, 32, 64), 200_000, 1_000_000, 512
 #: White space that str.isspace() and the pattern may see differently; words that border on it are cut by the pattern.
 WHITE = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff")
 
@@ -251,7 +251,8 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(shared.value, pattern)
-        for batch in batches:
+        # a worker holds an input batch and the results of SLICE rows
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             n, hashes, back, all_ids = [], [], [], []
             for ids in own.encode([x or "" for x in batch.column(1).to_pylist()]):
                 decoded = own.decode(ids)
