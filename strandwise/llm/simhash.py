@@ -12,21 +12,22 @@ that meet in a point are linked to the least of them if one of them is within 1
 bits always meet so, and any that are linked so are joined by links of 3 bits or fewer: the components are the same,
 and the rows grow with the number of members and not with its square.
 
-`similar_representatives` finds near copies by the similarity of word shingles, where 3 bits of 64 are too strict: a
-wide fingerprint of several times 64 bits is searched in the same way, each of its segments of 32 bits with a ball of
-one bit, and candidates are verified on all bits and then on their exact shingle sets.
+`similar_representatives` finds near copies by the similarity of word shingles, where 3 bits of 64 are too strict, and
+without a fingerprint. Of two sets whose Jaccard similarity is `similar` or more, the first n - ceil(similar * n) + 1
+members of each, in one order of all hashes, have a hash in common (prefix filter), so no such pair is missed. What
+meets so makes clusters, and within a cluster all pairs of different groups are compared by their whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +37,9 @@ from strandwise.llm.components import components
 #: Words of a shingle, the seed of its hash, the most differing bits, and the segment size from which pairs aren't formed.
 SHINGLE, SEED, BITS, DENSE = 3, 42, 3, 64
 
-#: Similarity search: least Jaccard similarity, words of a shingle and 64-bit words of the wide fingerprint that finds
-#: candidates, the share of its bits beyond which texts are unlike (unrelated texts differ in half), the largest crowd
-#: that is compared in pairs, salts of a hub, and values that a Python worker sends at once.
-SIMILAR, PROBE, LONGS, FAR, CROWD, SALTS, FLUSH = 0.8, 2, 5, 0.25, 8, 16, 1 << 18
+#: Similarity search: least Jaccard similarity, the most nodes of a prefix hash that are counted in pairs, nodes and
+#: values of a block that is compared in one task, and values that a Python worker sends at once.
+SIMILAR, CROWD, BLOCK, VALUES, FLUSH = 0.8, 8, 256, 1 << 19, 1 << 18
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -70,15 +70,10 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def wide_fingerprint(text: str, shingle: int, longs: int) -> np.ndarray:
-    """`longs` fingerprints of the distinct shingles, each under another mixing of their hashes (splitmix64)."""
-    hashes, out = np.unique(shingle_hashes(text, shingle)), []
-    for m in range(longs):
-        z = hashes + np.uint64(m * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(z ^ (z >> np.uint64(31))))
-    return np.array(out, dtype=np.int64)
+def prefix(text: str, shingle: int, similar: float) -> np.ndarray:
+    """The number of distinct shingles, then the least of their hashes: as many as can't all be missing in a set that is alike."""
+    hashes = np.sort(shingle_set(text, shingle))
+    return np.concatenate([[len(hashes)], hashes[: len(hashes) - math.ceil(similar * len(hashes) - 1e-9) + 1]])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -176,65 +171,91 @@ def mapped(rows: DataFrame, of: Callable[[str], np.ndarray], out: str) -> DataFr
     return rows.select("key", "text").mapInArrow(run, schema)
 
 
-def neighbours(wide: DataFrame) -> DataFrame:
-    """(node, key): the places in the tables where a node of `wide` (node, fp) meets another within a ball of one bit."""
-    halves = F.flatten(F.transform("fp", lambda x: F.array(F.shiftrightunsigned(x, 32), x.bitwiseAND(0xFFFFFFFF))))
-    segments = wide.select("node", F.posexplode(halves).alias("k", "seg")).select("node", "seg", (F.col("seg") + F.shiftleft(F.col("k").cast("long"), 32)).alias("key"))
-    buckets = segments.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    probes = segments.select("node", F.explode(ball_of_one()).alias("m"), "key").select("node", (F.col("key") + F.col("m")).alias("key"))
-    met = probes.join(buckets, "key").where("lo <> node or hi <> node").select("node", "key")
-    # a node that is alone in its own bucket is met there by those that probe it
-    probed = met.select("key").distinct().join(segments.select("node", "key"), "key").select("node", "key")
-    return met.unionByName(probed).distinct()
-
-
-def attached(edges: DataFrame, table: DataFrame, value: str, salts: int) -> DataFrame:
-    """`edges` (a, b) with the `value` of both nodes in `table` as va, vb. Where many share b, it meets its value under `salts` salts."""
-    hubs = edges.select(F.col("b").alias("node")).distinct().join(table, "node")
-    hubs = hubs.select(F.col("node").alias("b"), F.col(value).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = edges.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
-    return salted.join(hubs, ["b", "salt"]).join(table.select(F.col("node").alias("a"), F.col(value).alias("va")), "a")
-
-
-def close(edges: DataFrame, wide: DataFrame, salts: int = 1) -> DataFrame:
-    """The `edges` whose wide fingerprints differ in at most FAR of all bits."""
-    differing = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return attached(edges, wide, "fp", salts).where(differing <= F.size("va") * 64 * FAR).select("a", "b")
-
-
-def alike(edges: DataFrame, sets: DataFrame, similar: float, salts: int = 1) -> DataFrame:
-    """The `edges` whose shingle sets have a Jaccard similarity of `similar` or more."""
-    shared = F.size(F.array_intersect("va", "vb"))
-    return attached(edges, sets, "s", salts).where(shared / (F.size("va") + F.size("vb") - shared) >= similar).select("a", "b")
+def forest(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Edges between nodes of different labels that are alike: a spanning forest of all of them, labels taken as linked."""
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    counts = np.bincount(ids)
+    first, ends, group, out = np.cumsum(counts) - counts, np.cumsum(sizes), np.unique(labels, return_inverse=True)[1], []
+    for i in range(len(sets)):
+        if (group == group[i]).all():
+            break
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        n = counts[own]
+        shared = np.bincount(holders[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        alike = np.flatnonzero(shared / (sizes[i] + sizes - shared) >= similar)
+        for j in alike[group[alike] != group[i]]:
+            if group[j] != group[i]:
+                out.append((int(nodes[i]), int(nodes[j])))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def compared(dealt: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The edges (a, b) of `forest` for every cluster in every task of `dealt` (task, i, j, cluster, node, label), checkpointed."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows, out = rows.combine_chunks().sort_by("cluster"), []
+        cluster, nodes, labels = (rows.column(k).to_numpy() for k in ("cluster", "node", "label"))
+        lists = rows.column("s").combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        starts = [*np.flatnonzero(np.diff(cluster, prepend=cluster[0] + 1)), len(cluster)]
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            out += forest(nodes[lo:hi], labels[lo:hi], [values[ends[k] : ends[k + 1]] for k in range(lo, hi)], similar)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return checkpoint(dealt.join(sets, "node").groupBy("task", "i", "j").applyInArrow(run, "a long, b long"))
+
+
+def candidates(wide: DataFrame, similar: float) -> DataFrame:
+    """Edges (a, b) whose components hold every pair of `wide` (node, fp) that is alike.
+
+    Nodes that share a hash of up to CROWD nodes are counted in pairs: shared hashes, those of larger crowds, and all
+    that lie beyond the prefix that ends first bound what the sets share. In a larger crowd each member is linked to
+    the least one, as its pairs are compared later.
+    """
+    hashes = wide.select("node", F.explode(F.slice("fp", F.lit(2), F.size("fp") - 1)).alias("hash"))
+    met = checkpoint(hashes.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1"))
+    few, many = met.where(F.col("n") <= CROWD).select("hash", "node"), met.where(F.col("n") > CROWD).select("hash", "node")
+    pairs = few.select("hash", F.col("node").alias("a")).join(few.select("hash", F.col("node").alias("b")), "hash").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    crowded = many.groupBy("node").agg(F.count("*").alias("crowded"))
+    about = wide.join(crowded, "node", "left").select("node", F.struct(F.col("fp")[0].alias("size"), (F.col("fp")[0] - F.size("fp") + 1).alias("rest"), F.element_at("fp", -1).alias("last"), F.coalesce("crowded", F.lit(0)).alias("crowded")).alias("x"))
+    both = pairs.join(about.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(about.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
+    most = F.col("n") + F.least("xa.crowded", "xb.crowded") + F.when(F.col("xa.last") <= F.col("xb.last"), F.col("xa.rest")).otherwise(F.col("xb.rest"))
+    least = (F.col("xa.size") + F.col("xb.size")) * similar / (1 + similar) - 1e-6
+    stars = many.join(many.groupBy("hash").agg(F.min("node").alias("b")), "hash").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return both.where(most >= least).select("a", "b").unionByName(stars)
 
 
 def similar_links(texts: DataFrame, wide: DataFrame, shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
     """Edges (a, b) between the nodes of `wide` (node, key, fp) whose sets of word shingles have a Jaccard similarity of `similar` or more.
 
-    `texts` (key, text) has the text of every node's key. Up to CROWD nodes that meet in one place are compared in
-    pairs. Larger crowds are compared with four hubs, and those that are like none of the hubs with four more, until
-    none is left, so no crowd makes all its pairs.
+    Their components are those of all such pairs. `texts` (key, text) has the text of every node's key. Clusters of up
+    to a block are compared in one task, many of them together. Larger ones are dealt into blocks, each of which is
+    compared with itself and the least node of the cluster; if more than one group is left, every two blocks are.
     """
-    met = checkpoint(neighbours(wide))
-    sized = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key")
-    few = sized.where(F.col("n") <= CROWD).select("key", "node")
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    pairs = checkpoint(close(pairs, wide))
-    waiting = checkpoint(sized.where(F.col("n") > CROWD).select("key", "node"))
-    near = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(waiting.select("node")).distinct()
-    wanted = checkpoint(near.join(wide, "node").select(F.col("key").alias("_key")))
+    clusters = components(candidates(wide, similar)).withColumnRenamed("label", "cluster")
+    members = checkpoint(clusters.join(wide.select("node", "key", F.col("fp")[0].alias("size")), "node"))
+    wanted = members.select(F.col("key").alias("_key"))
     read = texts.join(size_checked(wanted, wanted.count()), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
     sets = checkpoint(mapped(read, lambda t: shingle_set(t, shingle), "s").select(F.col("key.node").alias("node"), "s").dropDuplicates(["node"]))
-    found = [checkpoint(alike(pairs, sets, similar))]
-    while not waiting.isEmpty():
-        mixed = [F.min_by("node", F.xxhash64("node", F.lit(2 * len(found) + i))) for i in range(2)]
-        hubs = waiting.groupBy("key").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), *mixed)).alias("hubs"))
-        tested = checkpoint(waiting.join(hubs, "key").select("key", F.col("node").alias("a"), F.explode("hubs").alias("b")))
-        like = checkpoint(alike(checkpoint(close(tested.select("a", "b").where("a <> b").distinct(), wide, SALTS)), sets, similar, SALTS))
-        found.append(like)
-        done = tested.join(like, ["a", "b"], "left_semi").unionByName(tested.where("a = b")).select("key", F.col("a").alias("node")).distinct()
-        waiting = checkpoint(waiting.join(done, ["key", "node"], "left_anti"))
-    return reduce(DataFrame.unionByName, found)
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / VALUES)).alias("blocks"))
+    bins = 1 + (members.agg(F.sum("size")).first()[0] or 0) // VALUES
+    placed = checkpoint(members.join(sizes, "cluster").select("cluster", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("i")))
+    small, large = placed.where("blocks = 1"), placed.where("blocks > 1")
+    own = small.select(F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("task"), "i", F.col("i").alias("j"), "cluster", "node")
+    # the label of a cluster is its least node
+    hubs = large.where("node = cluster").select("cluster", "node", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at")).where("at <> i").select("cluster", "node", F.col("at").alias("i"))
+    blocks = large.select("cluster", "node", "i").unionByName(hubs).select(F.col("cluster").alias("task"), "i", F.col("i").alias("j"), "cluster", "node")
+    found = compared(own.unionByName(blocks).withColumn("label", F.col("node")), sets, similar)
+    if large.isEmpty():
+        return found
+    labels = components(found)
+    labelled = checkpoint(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    parted = labelled.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
+    others = labelled.join(parted, "cluster").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("k <> i")
+    return found.unionByName(compared(others.select(F.col("cluster").alias("task"), F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), "cluster", "node", "label"), sets, similar))
 
 
 def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -248,7 +269,7 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text: str =
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(body).alias("node"))
     texts = docs.select(key.alias("key"), body.alias("text"))
-    rows = checkpoint(mapped(texts, lambda t: wide_fingerprint(t, PROBE, LONGS), "fp").withColumn("node", F.col("key.node")))
+    rows = checkpoint(mapped(texts, lambda t: prefix(t, shingle, similar), "fp").withColumn("node", F.col("key.node")))
     wide = checkpoint(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp")))
     labels = components(similar_links(texts, wide, shingle, similar))
     merged = wide.select("node", "key").join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))

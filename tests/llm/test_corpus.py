@@ -178,3 +178,26 @@ def test_similar_representatives_against_brute_force(spark):
     assert kept.columns == df.columns
     assert {(r["doc_id"] is not None, r["doc_id"] or 0) for r in kept.collect()} == want
     assert simhash.similar_representatives(df.limit(0)).isEmpty()
+
+
+def test_similar_representatives_of_an_original_and_its_copies(spark):
+    rng = random.Random(11)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(200):  # each like the original (0.85), no two of them alike (0.73)
+        own = list(original)
+        for i in rng.sample(range(2, 298, 5), 5):
+            own[i] = f"x{rng.randrange(10**9)}"
+        texts.append(own)
+    texts.insert(100, original)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert all(jaccard(sets[100], x) >= 0.8 for x in sets)
+    assert max(jaccard(sets[i], sets[i + 1]) for i in (*range(99), *range(101, 200))) < 0.8
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.similar_representatives(df).collect()] == [0]
+
+
+def test_similar_representatives_compare_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    test_similar_representatives_of_an_original_and_its_copies(spark)
