@@ -201,3 +201,13 @@ def test_similar_representatives_of_an_original_and_its_copies(spark):
 def test_similar_representatives_compare_all_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     test_similar_representatives_of_an_original_and_its_copies(spark)
+
+
+def test_similar_representatives_find_appended_and_cut_passages(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(150):  # 300 words of a text of 300 + 15..74: a similarity of 0.80 to 0.95
+        text = [f"w{rng.randrange(10**6)}" for _ in range(300 + 15 + 59 * i // 149)]
+        texts += [text, text[:300] if i % 2 else text[-300:]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.similar_representatives(df).collect()) == list(range(0, 300, 2))
