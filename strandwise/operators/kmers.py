@@ -17,6 +17,12 @@ def kmers(reads: DataFrame, k: int) -> DataFrame:
     return own.select("ord", "pos", F.least("kmer", dna.reverse_complement(F.col("kmer"))).alias("kmer"))
 
 
+def hashes(reads: DataFrame, k: int = 21) -> DataFrame:
+    """(ord, pos, hash) of all k-mers without other letters than A, C, G and T, as they stand. k is up to 31."""
+    own = reads.select("ord", F.posexplode(dna.kmers(F.col("seq"), k)).alias("pos", "kmer"))
+    return own.select("ord", "pos", dna.kmer_hash(F.col("kmer")).alias("hash")).where("hash is not null")
+
+
 def counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, n): occurrences of canonical k-mers. They are counted before they are made canonical."""
     own = reads.select(F.explode(dna.kmers(F.col("seq"), k)).alias("x")).where(~F.contains("x", F.lit("N"))).groupBy("x").count()

@@ -185,6 +185,13 @@ def kmer_hashes(spark, sf_dir):
     return own.select("ord", "pos", "hash", dna.hash_kmer(F.col("hash"), 21).alias("kmer"), dna.reverse_hash(F.col("hash"), 21).alias("reverse"), F.shiftright("hash", 34).alias("hint"))
 
 
+@query(None)
+def kmer_hashes_all(spark, sf_dir):
+    """What `kmer_hashes` gives, for every 21-mer of every read and its position."""
+    own = kmers.hashes(reads(spark, sf_dir), 21)
+    return own.select("ord", "pos", "hash", dna.hash_kmer(F.col("hash"), 21).alias("kmer"), dna.reverse_hash(F.col("hash"), 21).alias("reverse"), F.shiftright("hash", 34).alias("hint"))
+
+
 @query(sql("SELECT chunk, sum(CASE WHEN contains(seq, 'N') THEN ceil(length(seq) / 2) ELSE ceil(length(seq) / 4) END)::BIGINT seq_bytes, sum(ceil(length(qual) * 3 / 8))::BIGINT q8, sum(ceil(length(qual) * 2 / 8))::BIGINT q4, sum(ceil(length(qual) / 8))::BIGINT q2, sum(ceil(length(qual) * 7 / 8))::BIGINT q_all FROM reads GROUP BY chunk"))
 def packed_sizes(spark, sf_dir):
     q = lambda mode: F.sum(quality.packed_size(F.col("qual"), mode))

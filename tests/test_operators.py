@@ -134,3 +134,17 @@ def test_best_hits(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 31)], "a long, b long")
     assert {r.node: r.label for r in graph.components(edges).collect()} == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30, 40: 30}
+
+
+def test_all_kmers_are_hashed(spark, monkeypatch):
+    from strandwise.plans import catalog
+
+    seqs = ["ACGTTGCAACGTAGCTAGCTAGGATCC", "ACNTTGCAACGTAGCTAGCTAGGATC", "ACGT", "", None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "ord long, seq string")
+    monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir: df)
+    number = lambda s: sum("ACGT".index(c) * 4**i for i, c in enumerate(reversed(s)))
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    cut = [(i, p, s[p : p + 21]) for i, s in enumerate(seqs) for p in range(len(s or "") - 20) if "N" not in s[p : p + 21]]
+    want = {(i, p, number(x), x, number(turned(x)), number(x) >> 34) for i, p, x in cut}
+    rows = catalog.QUERIES["kmer_hashes_all"](spark, "").collect()
+    assert len(want) == 10 and len(rows) == 10 and {tuple(r) for r in rows} == want
