@@ -376,9 +376,9 @@ def parse_sra_headers(spark, sf_dir):
 
 @query(sql("SELECT combo, row_number() OVER (ORDER BY first) - 1 AS code, n, first FROM (SELECT split_part(header[2:], ':', 1) || ':' || split_part(header, ':', 2) || ':' || split_part(header, ':', 3) combo, min(ord) AS first, count(*) n FROM hdr GROUP BY ALL)"))
 def combo_dictionary(spark, sf_dir):
-    """Dictionary of run names by first appearance; at most 255 entries are of use, so its order is one small window."""
+    """Whole dictionary of run names by first appearance; its order is one window over the distinct names."""
     p = hdr(spark, sf_dir).select("ord", headers.parse(F.col("header"))["combo"].alias("combo"))
-    table = p.groupBy("combo").agg(F.min("ord").alias("first"), F.count("*").alias("n")).orderBy("first").limit(256)
+    table = p.groupBy("combo").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
     return table.select("combo", (F.row_number().over(Window.orderBy("first")) - 1).alias("code"), "n", "first")
 
 
@@ -519,7 +519,7 @@ def cached_delta_candidates(spark, sf_dir):
 def read_to_reference_hits(spark, sf_dir):
     """Best place of every read in the whole texts of other documents: references are the documents' first copies."""
     docs = carrier.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("t"))
-    refs = docs.groupBy(F.xxhash64("t").alias("key")).agg(F.min(F.struct("doc_id", "t")).alias("m")).select(F.col("m.doc_id").alias("ref"), F.translate("m.t", carrier.LETTERS, carrier.BASES).alias("seq")).where("length(seq) >= 150")
+    refs = docs.groupBy(F.xxhash64("t").alias("key")).agg(F.min(F.struct("doc_id", "t")).alias("m")).select(F.col("m.doc_id").alias("ref"), F.translate("m.t", carrier.LETTERS, carrier.BASES).alias("seq"))
     return mapping.best_hits(reads(spark, sf_dir), refs)
 
 

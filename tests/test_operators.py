@@ -148,3 +148,16 @@ def test_all_kmers_are_hashed(spark, monkeypatch):
     want = {(i, p, number(x), x, number(turned(x)), number(x) >> 34) for i, p, x in cut}
     rows = catalog.QUERIES["kmer_hashes_all"](spark, "").collect()
     assert len(want) == 10 and len(rows) == 10 and {tuple(r) for r in rows} == want
+
+
+def test_all_run_names_and_short_references(spark, monkeypatch, tmp_path):
+    from strandwise.plans import catalog
+
+    headers_of = [(i, f"@SIM:1:FC{i % 300:03d}:1:1101:5:7 1:N:0:A") for i in range(600)]
+    monkeypatch.setattr(catalog, "hdr", lambda spark, sf_dir: spark.createDataFrame(headers_of, "ord long, header string"))
+    got = {tuple(r) for r in catalog.QUERIES["combo_dictionary"](spark, "").select("code", "n", "first").collect()}
+    assert got == {(i, 2, i) for i in range(300)}
+    text = "The quick brown fox jumps over the lazy dog and the small cat"
+    spark.createDataFrame([(1, text), (2, "tiny")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hits = {r.ord: (r.ref, r["at"], r.mismatches) for r in catalog.QUERIES["read_to_reference_hits"](spark, str(tmp_path)).collect()}
+    assert hits == {1000000: (1, 0, 0)}
