@@ -3,33 +3,64 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions import dna
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which all executors share.
+
+    A folder of this machine is set only in local mode where the session names none; elsewhere that is an error.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandwise-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared folder; a lost executor takes nothing of it along."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that edges (a, b) reach from each. Labels jump to the label of their label."""
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label"))
-    while True:
-        labels = checkpoint(labels)
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        moved = checkpoint(moved.join(up, "label").select("node", "old", F.least("label", "top").alias("label")))
-        labels = moved.select("node", "label")
-        if moved.where("old <> label").isEmpty():
-            return labels
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder and read again.
+
+    A checkpoint keeps the size that the optimizer has estimated, and a join multiplies the sizes of its sides, so in
+    rounds of joins over checkpoints the estimate gets twice the digits each round and planning takes minutes. A
+    written table has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): the least node that can be reached, for every node of `edges`.
+
+    In each round a node, and the node that is its label, take the least label of the node's neighbours, and every node
+    takes the label of its label: the rounds are logarithmic in the longest path. Labels are aggregated before and
+    after the shuffle, so a node with many edges is no hot group. An empty edge table has no nodes. Nulls are no nodes.
+    """
+    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"), F.lit(True).alias("moved")))
+    while not labels.where("moved").isEmpty():
+        of = labels.select("node", "label")
+        near = edges.join(of, edges["b"] == of["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hooked = of.join(near, "node").select(F.explode(F.array("node", "label")).alias("node"), F.col("near").alias("label"), F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        up = of.select(F.col("node").alias("up"), F.col("label").alias("top"))
+        jumped = of.join(up, of["label"] == up["up"]).select("node", F.col("top").alias("label"), F.col("label").alias("was"))
+        labels = written(hooked.unionByName(jumped).groupBy("node").agg(F.min("label").alias("label"), (F.min("label") < F.max("was")).alias("moved")))
+    return labels.select("node", "label")
 
 
 def read_groups(reads: DataFrame, k: int = 21, w: int = 11, least: int = 2, most: int = 50) -> DataFrame:
