@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.operators.graph import checkpoint, shared_folder  # noqa: F401
+
 #: Words of the text contracts: runs of ASCII letters, digits and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -37,23 +39,6 @@ def ship(spark: SparkSession) -> None:
     sc._strandwise_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    A folder of this machine is set only where the session names none (tests in local mode).
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the shared folder; a lost executor takes nothing of it along."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def size_checked(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if its counted `rows` are within `limit`, else `df` for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

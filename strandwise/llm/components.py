@@ -1,29 +1,5 @@
-"""Connected components of an edge table, by least labels and pointer jumping."""
+"""Connected components of an edge table: those of the library."""
 
-from __future__ import annotations
+from strandwise.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from strandwise.llm.common import checkpoint
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the least node that can be reached, for every node of `edges`.
-
-    In each round a node takes the least label of its neighbours (aggregated before and after the shuffle, so a node
-    with many edges is no hot group) and then the label of its label. Rounds end when no label changes; labels move
-    at least twice as far each round. An empty edge table has no nodes. Nulls are no nodes.
-    """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    edges = checkpoint(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels["node"] == near["n"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("up_node"), F.col("label").alias("up_label"))
-        jumped = moved.join(up, moved["label"] == up["up_node"]).select("node", "was", F.least("label", "up_label").alias("label"))
-        jumped = checkpoint(jumped)
-        labels = jumped.select("node", "label")
-        if jumped.where("was <> label").isEmpty():
-            return labels
+__all__ = ["components"]
