@@ -102,6 +102,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def running(sizes: Column, block: int = 64) -> Column:
+    """array<int>: for each element of `sizes` (array<int>) the sum of those before it.
+
+    A fold that appends copies its result with every element, so it runs over blocks, and over the sums of the blocks:
+    the work grows in proportion to the elements up to some millions of them.
+    """
+
+    def fold(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def summed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, fold(totals, F.lit(0)), fold))
+
+    blocks = let(sizes, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block)))
+    return F.when(F.size(sizes) > 0, let(blocks, summed)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def kmers(s: Column, k: int) -> Column:
     """All k-mers in order; none for a shorter sequence."""
     starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1))).otherwise(F.array().cast("array<int>"))

@@ -73,3 +73,15 @@ def context(pos: Column, q1: Column, q2: Column, prev_base: Column, base: Column
 
 def clamp8(x: Column) -> Column:
     return F.greatest(F.lit(-128), F.least(F.lit(127), x))
+
+
+def to_bytes(s: Column) -> Column:
+    """The values as bytes of alignment records; a character below 33 counts as 0."""
+    return F.unhex(F.array_join(F.transform(values(s), lambda q: F.lpad(F.hex(F.greatest(q, F.lit(0))), 2, "0")), ""))
+
+
+def from_bytes(b: Column) -> Column:
+    """Characters of the bytes of alignment records; 255 (no quality) is !."""
+    h = F.hex(b)
+    q = lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("int")
+    return F.when(F.length(h) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.when(q(i) == 255, "!").otherwise(F.chr(q(i) + 33))), "")).otherwise(F.lit(""))

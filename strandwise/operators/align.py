@@ -18,14 +18,9 @@ def walk(records: DataFrame) -> DataFrame:
     Bases of M, = and X have a reference position; those of I and S have none. Records without operations, and
     unmapped ones, have no rows.
     """
-    query, ref = F.col("o.op").isin(M, I, S, EQ, X), F.col("o.op").isin(M, D, N, EQ, X)
-    ops = records.select("ord", "ref_id", "pos", "seq", F.posexplode("cigar").alias("k", "o")).where("ref_id >= 0")
-    before = Window.partitionBy("ord").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ops.select(
-        "ord", "ref_id", "seq", F.col("o.op").alias("op"), F.col("o.len").alias("n"),
-        F.coalesce(F.sum(F.when(query, F.col("o.len")).otherwise(0)).over(before), F.lit(0)).alias("q0"),
-        (F.col("pos") + F.coalesce(F.sum(F.when(ref, F.col("o.len")).otherwise(0)).over(before), F.lit(0))).alias("r0"),
-    ).where(F.col("op").isin(M, I, S, EQ, X) & (F.col("n") > 0))
+    length = lambda *kinds: dna.running(F.transform("cigar", lambda o: F.when(o["op"].isin(*kinds), o["len"]).otherwise(0)))
+    ops = records.where("ref_id >= 0").select("ord", "ref_id", "pos", "seq", F.explode(F.arrays_zip(F.col("cigar").alias("o"), length(M, I, S, EQ, X).alias("q"), length(M, D, N, EQ, X).alias("r"))).alias("x"))
+    placed = ops.select("ord", "ref_id", "seq", F.col("x.o.op").alias("op"), F.col("x.o.len").alias("n"), F.col("x.q").cast("long").alias("q0"), (F.col("pos") + F.col("x.r")).alias("r0")).where(F.col("op").isin(M, I, S, EQ, X) & (F.col("n") > 0))
     steps = placed.select("ord", "ref_id", "seq", "op", "q0", "r0", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     base = F.substr("seq", (F.col("q0") + F.col("i") + 1).cast("int"), F.lit(1))
     rows = steps.select("ord", "ref_id", "op", (F.col("q0") + F.col("i")).alias("query_pos"), F.when(F.col("op").isin(M, EQ, X), F.col("r0") + F.col("i")).alias("ref_pos"), base.alias("base")).where("base != ''")
@@ -58,9 +53,21 @@ def segments(records: DataFrame, gap: int = GAP) -> DataFrame:
 
 
 def differences(steps: DataFrame, votes: DataFrame) -> DataFrame:
-    """`steps` with `diff`: the code XOR the consensus where aligned, the code itself in insertions and clips."""
-    both = steps.join(votes.select("ref_id", "ref_pos", F.col("nibble").alias("vote")), ["ref_id", "ref_pos"], "left")
-    return both.withColumn("diff", F.col("nibble").bitwiseXOR(F.coalesce("vote", F.lit(0))))
+    """`steps` with `vote` and `diff`: the code XOR the consensus where aligned, the code itself in insertions and clips.
+
+    Only aligned bases are joined; the others have no position, and so one key for all of a reference.
+    """
+    aligned = steps.where("ref_pos is not null").join(votes.select("ref_id", "ref_pos", F.col("nibble").alias("vote")), ["ref_id", "ref_pos"], "left")
+    rest = steps.where("ref_pos is null").withColumn("vote", F.lit(None).cast(votes.schema["nibble"].dataType))
+    return aligned.unionByName(rest).withColumn("diff", F.col("nibble").bitwiseXOR(F.coalesce("vote", F.lit(0))))
+
+
+def rebuild(differences: DataFrame) -> DataFrame:
+    """(ord, seq): the aligned, inserted and clipped bases of each record from `vote` and `diff`, in order."""
+    code = F.when(F.col("ref_pos").isNotNull(), F.col("diff").bitwiseXOR(F.coalesce("vote", F.lit(0)))).otherwise(F.col("diff"))
+    base = F.substr(F.lit(dna.NIBBLES), code.cast("int") + 1, F.lit(1))
+    back = differences.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("query_pos", base.alias("base")))).alias("v"))
+    return back.select("ord", F.array_join(F.transform("v", lambda x: x["base"]), "").alias("seq"))
 
 
 def mates(records: DataFrame) -> tuple[DataFrame, DataFrame]:

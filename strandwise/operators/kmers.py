@@ -69,8 +69,29 @@ def sharing(reads: DataFrame, k: int = 21, w: int = 11) -> DataFrame:
     return own.join(shared, "minimizer", "left_semi").select("ord").distinct()
 
 
+def shared_pairs(reads: DataFrame, k: int = 21, w: int = 11, shared: int = 2, most: int = 50) -> DataFrame:
+    """(a, b, n): pairs of reads that have `shared` minimizers or more in common, of minimizers that 2 to `most` reads have.
+
+    The bounds on a minimizer are part of the operator; they also bound the pairs that a read can be in.
+    """
+    own = reads.select("ord", F.explode(F.array_distinct(dna.minimizers(F.col("seq"), k, w))).alias("m"))
+    kept = own.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("m")
+    own = own.join(kept, "m")
+    pairs = own.withColumnRenamed("ord", "a").join(own.withColumnRenamed("ord", "b"), "m").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared)
+
+
 def next_base(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, base, n, rank): how often each base follows a k-mer, ranked by count, then base."""
     own = reads.select(F.explode(F.transform(dna.kmers(F.col("seq"), k + 1), lambda x: x)).alias("x")).where(~F.contains("x", F.lit("N")))
     table = own.groupBy(F.substr("x", F.lit(1), F.lit(k)).alias("kmer"), F.substr("x", F.lit(k + 1), F.lit(1)).alias("base")).agg(F.count("*").alias("n"))
     return table.withColumn("rank", F.row_number().over(Window.partitionBy("kmer").orderBy(F.desc("n"), "base")) - 1)
+
+
+def ranks(reads: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """(ord, ranks): for each base after `k` others its rank in `table` (of `next_base`, at most 4 ** (k + 1) rows), as
+    digits in order of position; k-mers with N have none. The table is broadcast as one map."""
+    ranked = table.agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kmer", "base"), F.col("rank").cast("string")))).alias("rank_of"))
+    own = reads.select("ord", dna.kmers(F.col("seq"), k + 1).alias("x")).join(F.broadcast(ranked))
+    digits = F.array_join(F.transform("x", lambda x: F.col("rank_of")[x]), "")  # what has no rank is left out
+    return own.select("ord", digits.alias("ranks")).where("ranks != ''")

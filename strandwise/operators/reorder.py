@@ -50,3 +50,29 @@ def blocks(reads: DataFrame, size: int, by: str = "chunk") -> DataFrame:
     own = reads.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(by).orderBy("ord")) - 1) / size))
     heads = own.groupBy(by, "block").agg(F.min(F.struct("ord", "seq")).alias("head"), F.count("*").alias("n"))
     return heads.select(by, "block", F.col("head.ord").alias("first"), "n", F.row_number().over(Window.partitionBy(by).orderBy("head.seq", "block")).alias("place"))
+
+
+def bucketed(keyed: DataFrame, more: list[Column], buckets: int = 256) -> DataFrame:
+    """(ord, bucket, place): places in one order over all rows of `keyed` (ord, hash): bucket, hash, `more`, ord.
+
+    The bucket is taken from the upper half of the hash; rows without one are in the last. Rows are ranked within their
+    bucket, and the buckets' counts, a row each, give the rest of the place.
+    """
+    own = keyed.withColumn("bucket", F.when(F.col("hash").isNull(), buckets - 1).otherwise(F.shiftright("hash", 32) % buckets))
+    order = [F.col("hash").asc_nulls_last(), *[k.asc_nulls_last() for k in more], F.col("ord")]
+    ranked = own.select("ord", "bucket", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)).alias("r"))
+    counts = own.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = counts.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each bucket
+    return ranked.join(F.broadcast(before), "bucket").select("ord", "bucket", (F.col("before") + F.col("r")).alias("place"))
+
+
+def permutation(order: DataFrame, by: str = "chunk") -> DataFrame:
+    """(ord, chunk, place, original): for each place of an order the place before it, both within the chunk."""
+    return order.select("ord", by, "place", (F.row_number().over(Window.partitionBy(by).orderBy("ord")) - 1).alias("original"))
+
+
+def restored(permuted: DataFrame, by: str = "chunk") -> DataFrame:
+    """`permuted` in its original order; an error if the stored places of a chunk aren't 0, 1, 2 and so on."""
+    w = Window.partitionBy(by).orderBy("original")
+    at = F.row_number().over(w) - 1
+    return permuted.withColumn("_at", at).withColumn("original", F.when(F.col("_at") == F.col("original"), F.col("original")).otherwise(F.raise_error(F.lit("the permutation is not complete")).cast("int"))).drop("_at")

@@ -53,8 +53,12 @@ def adaptive_bits(df: DataFrame, symbol: str, context: list[str], alphabet: int)
 
     Per context: log2((N + K - 1)! / (K - 1)!) - sum of log2(n_i!).
     """
-    joint = df.groupBy(*context, symbol).agg(F.count("*").alias("n"))
-    by = joint.groupBy(*context).agg(F.sum("n").alias("n"), F.sum(log2_factorial(F.col("n"))).alias("own"))
+    return adaptive_bits_of(df.groupBy(*context, symbol).agg(F.count("*").alias("_n")), context, alphabet)
+
+
+def adaptive_bits_of(counts: DataFrame, context: list[str], alphabet: int) -> DataFrame:
+    """`adaptive_bits` of the counts `_n` of each context and symbol."""
+    by = counts.groupBy(*context).agg(F.sum("_n").alias("n"), F.sum(log2_factorial(F.col("_n"))).alias("own"))
     start = log2_factorial(F.lit(alphabet - 1))
     return by.agg(F.sum("n").alias("n"), F.sum(log2_factorial(F.col("n") + (alphabet - 1)) - start - F.col("own")).alias("bits"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwise.functions import dna, headers, quality
-from strandwise.operators import align, graph, kmers, mapping, reorder, stats
+from strandwise.operators import align, columns, graph, kmers, mapping, reorder, stats
 from strandwise.plans.oracle import kmers as sql_kmers
 from strandwise.plans.oracle import minimizers as sql_minimizers
 from strandwise.plans.oracle import rc, sql
@@ -204,11 +204,11 @@ def centre_windows(spark, sf_dir):
     return reads(spark, sf_dir).select("ord", w["left"].alias("l"), w["right"].alias("r"))
 
 
-@query(sql("SELECT ord, sum(d)::BIGINT total, count(*) n, max(CASE WHEN d = 0 THEN 0 ELSE 1 END)::BIGINT any_change FROM (SELECT ord, (instr('CGT', substr(seq, i, 1)) - instr('CGT', substr(p, i, 1)) + 4) % 4 d FROM (SELECT *, unnest(range(1, least(length(seq), length(p)) + 1)) i FROM (SELECT ord, seq, lag(seq) OVER (PARTITION BY chunk ORDER BY ord) p FROM reads) WHERE p IS NOT NULL)) GROUP BY ord"))
+@query(sql("SELECT ord, string_agg((instr('CGT', substr(seq, i, 1)) - instr('CGT', substr(p, i, 1)) + 4) % 4, '' ORDER BY i) deltas FROM (SELECT *, unnest(range(1, least(length(seq), length(p)) + 1)) i FROM (SELECT ord, seq, lag(seq) OVER (PARTITION BY chunk ORDER BY ord) p FROM reads) WHERE p IS NOT NULL) GROUP BY ord"))
 def mod4_deltas(spark, sf_dir):
+    """Base codes of a read minus those of the read before, modulo 4, one digit each."""
     own = reads(spark, sf_dir).select("ord", "seq", F.lag("seq").over(Window.partitionBy("chunk").orderBy("ord")).alias("p")).where("p is not null")
-    d = own.select("ord", dna.mod4_delta(F.col("seq"), F.col("p")).alias("d"))
-    return d.select("ord", F.aggregate("d", F.lit(0), lambda a, x: a + x).alias("total"), F.size("d").alias("n"), F.exists("d", lambda x: x != 0).cast("int").alias("any_change"))
+    return own.select("ord", F.array_join(dna.mod4_delta(F.col("seq"), F.col("p")).cast("array<string>"), "").alias("deltas"))
 
 
 # ---- k-mers
@@ -245,10 +245,11 @@ def kmer_size_choice(spark, sf_dir):
     return total.select("total", F.when(F.col("total") < 5_000_000, 15).when(F.col("total") < 50_000_000, 19).when(F.col("total") < 500_000_000, 23).when(F.col("total") < 2_000_000_000, 27).otherwise(31).alias("k"))
 
 
-@query(sql(f"SELECT m.ord, count(*) n_minimizers, count(DISTINCT m.m) n_distinct, min(m.m) least FROM {sql_minimizers(21, 11)} m GROUP BY m.ord"))
+@query(sql(f"SELECT m.ord, string_agg(m.m, ',' ORDER BY m.place) minimizers FROM {sql_minimizers(21, 11)} m GROUP BY m.ord"))
 def minimizer_pairs(spark, sf_dir):
+    """The minimizers of each read in order."""
     own = reads(spark, sf_dir).select("ord", dna.minimizers(F.col("seq"), 21, 11).alias("m")).where("size(m) > 0")
-    return own.select("ord", F.size("m").alias("n_minimizers"), F.size(F.array_distinct("m")).alias("n_distinct"), F.array_min("m").alias("least"))
+    return own.select("ord", F.array_join("m", ",").alias("minimizers"))
 
 
 @query(sql(f"SELECT minimizer, ord, place FROM (SELECT m minimizer, ord, row_number() OVER (PARTITION BY m ORDER BY ord) place FROM (SELECT DISTINCT m, ord FROM {sql_minimizers(21, 11)})) WHERE place <= 50"))
@@ -279,12 +280,11 @@ def next_base_table(spark, sf_dir):
     return kmers.next_base(reads(spark, sf_dir), 4)
 
 
-@query(sql(f"SELECT chunk, rank, count(*) n FROM {sql_kmers(5)} k JOIN {NEXT} t ON substr(k.x, 1, 4) = t.kmer AND substr(k.x, 5, 1) = t.base GROUP BY ALL"))
+@query(sql(f"SELECT ord, string_agg(rank, '' ORDER BY k.pos) ranks FROM {sql_kmers(5)} k JOIN {NEXT} t ON substr(k.x, 1, 4) = t.kmer AND substr(k.x, 5, 1) = t.base GROUP BY ord"))
 def rank_recode(spark, sf_dir):
-    """Ranks of bases under the 4 before them: counts by chunk. The table has at most 1024 rows, so it is broadcast."""
+    """Ranks of a read's bases under the 4 before them. The table has at most 1024 rows, so it is broadcast."""
     r = reads(spark, sf_dir)
-    own = r.select("chunk", F.explode(dna.kmers(F.col("seq"), 5)).alias("x")).where(~F.contains("x", F.lit("N"))).select("chunk", F.substr("x", F.lit(1), F.lit(4)).alias("kmer"), F.right("x", F.lit(1)).alias("base"))
-    return own.join(F.broadcast(kmers.next_base(r, 4)), ["kmer", "base"]).groupBy("chunk", "rank").agg(F.count("*").alias("n"))
+    return kmers.ranks(r, kmers.next_base(r, 4), 4)
 
 
 K9 = f"t AS (SELECT kmer FROM {sql_kmers(9)} GROUP BY kmer HAVING count(*) > 1)"
@@ -340,10 +340,10 @@ def quality_contexts(spark, sf_dir):
     return h.groupBy(c.alias("context")).agg(F.count("*").alias("n"), F.avg("q").alias("mean_q"))
 
 
-@query(sql("SELECT pos, q median, n total FROM (SELECT pos, q, row_number() OVER (PARTITION BY pos ORDER BY q) - 1 r, count(*) OVER (PARTITION BY pos) n FROM bases WHERE ord IN (SELECT ord FROM reads WHERE length(seq) = 150)) WHERE r = n // 2"))
+@query(sql("SELECT pos, q median, n total FROM (SELECT pos, q, row_number() OVER (PARTITION BY pos ORDER BY q) - 1 r, count(*) OVER (PARTITION BY pos) n FROM bases WHERE ord IN (SELECT ord FROM reads WHERE length(seq) = (SELECT n FROM (SELECT length(seq) n, count(*) c FROM reads GROUP BY 1) ORDER BY c DESC, n LIMIT 1))) WHERE r = n // 2"))
 def positional_median_model(spark, sf_dir):
-    """Upper median of the qualities at each position of full-length reads."""
-    return stats.upper_median(bases(reads(spark, sf_dir).where("length(seq) = 150")), ["pos"], "q")
+    """Upper median of the qualities at each position of the reads of the most frequent length."""
+    return columns.median_model(reads(spark, sf_dir))
 
 
 @query(sql("SELECT chunk, string_agg(DISTINCT c, '' ORDER BY c) alphabet, count(DISTINCT c) n FROM (SELECT chunk, chr((q + 33)::INT) c FROM bases) GROUP BY chunk"))
@@ -382,10 +382,11 @@ def combo_dictionary(spark, sf_dir):
     return table.select("combo", (F.row_number().over(Window.orderBy("first")) - 1).alias("code"), "n", "first")
 
 
-@query("SELECT count(*) n, 0::BIGINT n_wrong, true AS all_parsed FROM events")
+@query(sql("SELECT ord, header FROM hdr"))
 def header_round_trip(spark, sf_dir):
-    own = hdr(spark, sf_dir).select("header", headers.parse(F.col("header")).alias("p"))
-    return own.agg(F.count("*").alias("n"), F.count(F.when(~F.col("header").eqNullSafe(headers.rebuild(F.col("p"))), 1)).alias("n_wrong"), F.every(F.col("p.fmt").isNotNull()).alias("all_parsed"))
+    """Headers put together again from their fields."""
+    own = hdr(spark, sf_dir).select("ord", headers.parse(F.col("header")).alias("p"))
+    return own.select("ord", headers.rebuild(F.col("p")).alias("header"))
 
 
 ZIG = lambda d: f"xor(({d}) * 2, ({d}) >> 63)"
@@ -466,13 +467,11 @@ def consensus_differences(spark, sf_dir):
     return d.groupBy("ord").agg(F.count(F.when(there, 1)).alias("n_diff"), F.count(F.when(there & (F.col("diff") == 0), 1)).alias("n_equal"), F.count(F.when(~there, 1)).alias("n_extra"), F.sum("diff").alias("diffs"))
 
 
-@query(sql("SELECT count(*) n, 0::BIGINT n_wrong FROM steps"))
+@query(sql("SELECT ord, string_agg(base, '' ORDER BY query_pos) seq FROM steps GROUP BY ord"))
 def consensus_round_trip(spark, sf_dir):
-    """Bases that differ after the differences are undone (none)."""
+    """Sequences rebuilt from the consensus and the differences to it."""
     s = align.walk(aln(spark, sf_dir))
-    d = align.differences(s, align.consensus(s))
-    back = F.when(F.col("ref_pos").isNotNull(), F.col("diff").bitwiseXOR(F.coalesce("vote", F.lit(0)))).otherwise(F.col("diff"))
-    return d.agg(F.count("*").alias("n"), F.count(F.when(back != F.col("nibble"), 1)).alias("n_wrong"))
+    return align.rebuild(align.differences(s, align.consensus(s)))
 
 
 @query(sql(f"SELECT ord, ref_id - lr d_ref, CASE WHEN ref_id = lr THEN pos - lp ELSE pos END d_pos, {ZIG('tlen')} zig_tlen, next_ref_id - ref_id mate_ref, next_pos - pos mate_pos FROM (SELECT *, lag(ref_id, 1, 0::BIGINT) OVER (PARTITION BY chunk ORDER BY ref_id, pos, ord) lr, lag(pos, 1, 0::BIGINT) OVER (PARTITION BY chunk ORDER BY ref_id, pos, ord) lp FROM aln)"))
@@ -481,10 +480,10 @@ def position_deltas(spark, sf_dir):
     return d.select("ord", "d_ref", "d_pos", dna.zigzag(F.col("tlen")).alias("zig_tlen"), (F.col("next_ref_id") - F.col("ref_id")).alias("mate_ref"), (F.col("next_pos") - F.col("pos")).alias("mate_pos"))
 
 
-@query(sql("SELECT count(*) n, 0::BIGINT n_wrong FROM aln"))
+@query(sql("SELECT ord, ref_id, pos FROM aln"))
 def position_round_trip(spark, sf_dir):
-    d = align.undo_deltas(align.deltas(aln(spark, sf_dir)))
-    return d.agg(F.count("*").alias("n"), F.count(F.when((F.col("back_ref") != F.col("ref_id")) | (F.col("back_pos") != F.col("pos")), 1)).alias("n_wrong"))
+    """References and positions rebuilt from their deltas."""
+    return align.undo_deltas(align.deltas(aln(spark, sf_dir))).select("ord", F.col("back_ref").alias("ref_id"), F.col("back_pos").alias("pos"))
 
 
 SLOTS = "slots AS (SELECT name, max(CASE WHEN flag & 64 > 0 THEN ord END) ord1, max(CASE WHEN flag & 128 > 0 THEN ord END) ord2 FROM aln WHERE flag & 2304 = 0 GROUP BY name)"
@@ -559,3 +558,6 @@ def record_fingerprint(spark, sf_dir):
     """Order-insensitive fingerprint of the records of each chunk, and its size."""
     crc = F.crc32(F.concat_ws("\n", F.col("ord").cast("string"), "seq", "qual").cast("binary"))
     return reads(spark, sf_dir).groupBy("chunk").agg(F.sum(crc).alias("fingerprint"), F.count("*").alias("n"))
+
+
+from strandwise.plans import records  # noqa: E402, F401  (adds its queries)
