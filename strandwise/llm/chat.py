@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.functions.dna import running
+
 OPEN, CLOSE, PART, BAR = "<turn ", "</turn>", "<part>", "|>"
 
 
@@ -67,18 +69,11 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(f"{CLOSE}\n")).alias("formatted"),
         F.transform("pieces", lambda p: F.struct(F.length(p["mark"]).alias("m"), F.length(p["text"]).alias("n"), p["loss"].alias("loss"))).alias("lengths"),
     )
-    # ends of the pieces are running sums of their lengths
-    empty = F.expr("cast(array() as array<struct<start:int, end:int>>)")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    folded = F.aggregate(
-        "lengths",
-        zero,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["m"] + p["n"]).alias("at"),
-            F.when(p["loss"], F.array_append(acc["out"], F.struct((acc["at"] + p["m"]).alias("start"), (acc["at"] + p["m"] + p["n"]).alias("end")))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return whole.select(F.col("conv").alias(conv), "formatted", folded["out"].alias("loss_mask"))
+    # starts of the pieces are running sums of their lengths
+    starts = running(F.transform("lengths", lambda p: p["m"] + p["n"]))
+    spans = F.zip_with("lengths", starts, lambda p, at: F.struct((at + p["m"]).alias("start"), (at + p["m"] + p["n"]).alias("end"), p["loss"].alias("loss")))
+    mask = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return whole.select(F.col("conv").alias(conv), "formatted", mask.alias("loss_mask"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.functions.dna import let, running
 from strandwise.operators.graph import checkpoint, shared_folder  # noqa: F401
 
 #: Words of the text contracts: runs of ASCII letters, digits and everything beyond ASCII.
@@ -68,17 +69,12 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
 
     def spans(k: str, p: str) -> Column:
         found = F.col(f"_{k}_found")
-        pairs = F.arrays_zip(found.alias("m"), F.transform(F.split(body, p, -1), lambda g: F.length(g)).alias("g"))
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        folded = F.aggregate(
-            pairs,
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-                F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m"))).alias("out"),
-            ),
-        )["out"]
         # the last stretch of text has no match after it
-        return F.when(F.size(found) > 0, F.slice(folded, 1, F.size(found))).otherwise(empty)
+        pairs = F.zip_with(found, F.slice(F.split(body, p, -1), 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), (F.length(g) + F.length(m)).alias("n")))
+
+        def placed(pairs: Column) -> Column:
+            return F.zip_with(pairs, running(F.transform(pairs, lambda x: x["n"])), lambda x, at: F.struct((at + x["g"]).alias("s"), (at + x["n"]).alias("e"), x["m"].alias("m")))
+
+        return F.when(F.size(found) > 0, let(pairs, placed)).otherwise(empty)
 
     return df.withColumns({k: spans(k, p) for k, p in patterns.items()}).drop(*[f"_{k}_found" for k in patterns])
