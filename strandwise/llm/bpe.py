@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from strandwise.llm.common import ship
 
 #: Widths of the buckets, the pieces that are remembered between groups of texts, and the characters of a group.
-BUCKETS, REMEMBERED, GROUP_CHARS, SLICE = (2, 4, 6, 8, 12, 16, 24, 32, 64), 200_000, 1_000_000, 512
+BUCKETS, REMEMBERED, GROUP_CHARS, SLICE = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256), 200_000, 1_000_000, 512
+#: Cells of a matrix.
+CELLS = 1 << 19
 #: White space that str.isspace() and the pattern may see differently; words that border on it are cut by the pattern.
 WHITE = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff")
 
@@ -178,8 +180,9 @@ class Tokenizer:
                 own[0].append(p)
                 own[1].append(b)
         for width, (names, own) in buckets.items():
-            for k in range(0, len(own), 8192):
-                known.update(zip(names[k : k + 8192], self._matrix(own[k : k + 8192], width), strict=True))
+            step = min(8192, CELLS // width)
+            for k in range(0, len(own), step):
+                known.update(zip(names[k : k + step], self._matrix(own[k : k + step], width), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers.
