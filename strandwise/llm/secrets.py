@@ -2,7 +2,7 @@
 
 Two first-order Markov models over the characters of tokens are trained by grouped counts: one from strings that the
 fixed rules label as secrets (smoothed towards uniform random strings), one from ordinary words. A token that is long
-enough and whose mean log-likelihood ratio for each character passes the threshold is reported beside the rules'
+enough and whose log-likelihood ratio passes the thresholds is reported beside the rules'
 spans. Scoring is a fold over the token's characters with a table of |alphabet|^2 ratios, inside Spark expressions.
 """
 
@@ -26,10 +26,11 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters of tokens; index 0 stands for the border of the token.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
 
-#: Rows of the training sample (documents), smoothing, and the least mean log2 ratio for each character.
-TRAIN_ROWS, SMOOTHING, THRESHOLD = 20_000, 0.5, 1.0
+#: Rows of the training sample (documents), smoothing, the least mean log2 ratio for each character, and the least log2
+#: ratio of the whole token, which asks more of each character of a shorter one (tokens have 12 characters or more).
+TRAIN_ROWS, SMOOTHING, THRESHOLD, EVIDENCE = 20_000, 0.5, 1.0, 24.0
 
 
 def of_kind(spans: Column, kind: int) -> Column:
@@ -92,15 +93,15 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", train_row
     return ratio
 
 
-def random_spans(tokens: Column, ratio: list[float], threshold: float = THRESHOLD) -> Column:
-    """Of `tokens` (found by TOKEN) those that hold a digit and pass the ratio test, as `sorted_base` has spans."""
+def random_spans(tokens: Column, ratio: list[float], threshold: float = THRESHOLD, evidence: float = EVIDENCE) -> Column:
+    """Of `tokens` (found by TOKEN) those that pass the ratio test, as `sorted_base` has spans."""
     csv = ",".join(f"{x:.6f}" for x in ratio)
     lookup = F.split(F.lit(csv), ",").cast("array<double>")
 
-    def mean(token: Column) -> Column:
-        return F.aggregate(bigrams(token), F.lit(0.0), lambda acc, p: acc + F.get(lookup, p)) / F.length(token)
+    def total(token: Column) -> Column:
+        return F.aggregate(bigrams(token), F.lit(0.0), lambda acc, p: acc + F.get(lookup, p))
 
-    kept = F.filter(tokens, lambda x: F.when(x["m"].rlike("[0-9]"), mean(x["m"]) >= threshold).otherwise(False))
+    kept = F.filter(tokens, lambda x: total(x["m"]) >= F.greatest(F.lit(evidence), threshold * F.length(x["m"])))
     return of_kind(kept, 3)
 
 
@@ -112,8 +113,10 @@ def joined(spans: Column) -> Column:
 def scan(docs: DataFrame, ratio: list[float], text: str = "text") -> DataFrame:
     """`docs` with `base` and `secrets` (base and model spans, sorted): arrays of struct<s, kind, e, m>.
 
-    Positions are code points, end exclusive. Null and empty texts have no spans. A model span that overlaps a span
-    of the rules is left out. Rows are independent, so repeated rows and ties have equal results.
+    Positions are code points, end exclusive. Null and empty texts have no spans. A model span has 12 characters or
+    more, letters alone too, and a log2 ratio of EVIDENCE in all and THRESHOLD for each character; one that overlaps a
+    span of the rules is left out. Rows are independent: repeated rows, rows without an id and ties have equal results,
+    and an empty table gives no rows. Columns of `docs` that are named base or secrets are replaced; others stay.
     """
     out = with_spans(with_base(docs, text), text, {"_tokens": TOKEN})
     apart = F.filter(random_spans(F.col("_tokens"), ratio), lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
