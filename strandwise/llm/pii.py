@@ -1,6 +1,6 @@
 """Personal data: fixed rules, and identifiers found by bootstrapped contexts.
 
-The rules' matches are seeds. A token that holds a digit is an instance; the word before it and the word after it are
+The rules' matches are seeds. A token that holds a digit or an @ is an instance; the word before it and the word after it are
 its lexical patterns. Patterns and instances form a graph whose edges are counted by a grouped aggregation. ROUNDS
 times, a pattern's confidence is the mean score of its distinct instances (with PRIOR unknown ones added) and an
 instance's score is the noisy-or of its patterns' confidences; seeds keep score 1. A pattern with LEAST_SEEDS distinct
@@ -26,8 +26,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){3}$"
 KINDS = ("email", "ip", "card", "phone", "id")
 
-#: Tokens without white space that hold a digit, and the characters that an identifier keeps.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Tokens without white space that hold a digit or an @.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 ROUNDS, PRIOR, LEAST_SEEDS, CONFIDENT, LEAST_DIGITS = 3, 2.0, 5, 0.8, 4
 
@@ -67,7 +67,7 @@ def joined(spans: Column) -> Column:
 
 
 def tokens(docs: DataFrame, text: str) -> DataFrame:
-    """`docs` with `tokens`: array<struct<s, e, name, before, after, seed>> of the tokens that hold a digit.
+    """`docs` with `tokens`: array<struct<s, e, name, before, after, seed>> of the tokens that hold a digit or an @.
 
     s and e leave out the signs at both ends of the token; `seed` is whether a span of the rules overlaps it. before
     and after are lower-case words, or null beside another such token or the border of the text.
@@ -116,14 +116,14 @@ def beside(t: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: id, base and found, arrays of struct<kind, s, e> by kind as listed, then start.
 
-    found holds the rules' spans and those that patterns discover (kind `id`: LEAST_DIGITS digits or more, and no
-    overlap with a rule's span). Positions are code points, end exclusive. Null and empty texts have no spans. Repeated
+    found holds the rules' spans and those that patterns discover (kind `id`: tokens with LEAST_DIGITS digits or more,
+    or an @ within, and no overlap with a rule's span; words of letters alone are never found). Positions are code points, end exclusive. Null and empty texts have no spans. Repeated
     rows and null ids each keep a row. An empty table gives no rows.
     """
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).alias("t"))
     read = checkpoint(tokens(with_base(source, "t"), "t").drop("t"))
     known = checkpoint(patterns(read))
-    open_ = read.select("row", F.explode(F.filter("tokens", lambda t: ~t["seed"] & (F.length(digits(t["name"])) >= LEAST_DIGITS))).alias("t"))
+    open_ = read.select("row", F.explode(F.filter("tokens", lambda t: ~t["seed"] & ((F.length(digits(t["name"])) >= LEAST_DIGITS) | F.contains(t["name"], F.lit("@"))))).alias("t"))
     asked = open_.select("row", "t.s", "t.e", F.explode(beside(F.col("t"))).alias("pattern"))
     hits = asked.join(size_checked(known, known.count()), "pattern").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "s", "e"))).alias("more"))
     return read.join(hits, "row", "left").select(F.col("id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("found"))
