@@ -84,11 +84,11 @@ def unitigs(reads: DataFrame, k: int = 21, least: int = 2) -> DataFrame:
     """
     one = reads.select(F.explode(dna.kmers(F.col("seq"), k)).alias("x")).where(~F.contains("x", F.lit("N")))
     both = one.unionByName(one.select(dna.reverse_complement(F.col("x")).alias("x"))).groupBy("x").count().where(F.col("count") >= least).select("x")
-    nodes = checkpoint(both)
+    nodes = written(both)
     links = nodes.select(F.col("x").alias("a"), F.substr("x", F.lit(2)).alias("mid")).join(nodes.select(F.col("x").alias("b"), F.substr("x", F.lit(1), F.lit(k - 1)).alias("mid")), "mid")
     out = links.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
     into = links.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a")).where("n = 1")
-    sole = checkpoint(out.select("a", "b").join(into.select("a", "b"), ["a", "b"]).where("a <> b"))
+    sole = written(out.select("a", "b").join(into.select("a", "b"), ["a", "b"]).where("a <> b"))
     state = ranks(nodes, sole)
     paths = state.groupBy("anc").agg(F.sort_array(F.collect_list(F.struct("steps", F.right("x", F.lit(1)).alias("base")))).alias("s"))
     whole = paths.select(F.concat(F.substr("anc", F.lit(1), F.lit(k - 1)), F.array_join(F.transform("s", lambda x: x["base"]), "")).alias("seq"))
@@ -102,16 +102,16 @@ def ranks(nodes: DataFrame, links: DataFrame) -> DataFrame:
     least node and ranked as a path.
     """
     begin = nodes.join(links, nodes["x"] == links["b"], "left").select("x", F.coalesce("a", "x").alias("anc"), F.when(F.col("a").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("a").isNotNull().alias("open"), F.least("x", "a").alias("low"))
-    state, reach = checkpoint(begin), 1
+    state, reach = written(begin), 1
     while True:
         ahead = state.select(F.col("x").alias("anc"), F.col("anc").alias("next"), F.col("steps").alias("more"), F.col("open").alias("still"), F.col("low").alias("least"))
-        state = checkpoint(state.join(ahead, "anc").select("x", F.col("next").alias("anc"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"), F.least("low", "least").alias("low")))
+        state = written(state.join(ahead, "anc").select("x", F.col("next").alias("anc"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"), F.least("low", "least").alias("low")))
         left, reach = state.where("open").count(), reach * 2
         if left == 0 or reach > left:
             break
     done = state.where("not open").select("x", "anc", "steps")
     if left == 0:
         return done
-    circles = checkpoint(state.where("open").select("x", "low"))
+    circles = written(state.where("open").select("x", "low"))
     within = links.join(circles, links["b"] == circles["x"]).where("b <> low").select("a", "b")
     return done.unionByName(ranks(circles.select("x"), within))

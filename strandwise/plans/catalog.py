@@ -527,6 +527,12 @@ def read_components(spark, sf_dir):
     return graph.read_groups(reads(spark, sf_dir))
 
 
+@query(None)
+def unitigs(spark, sf_dir):
+    """Maximal unbranched paths over the 21-mers that reads have twice or more."""
+    return graph.unitigs(reads(spark, sf_dir))
+
+
 # ---- reports
 
 @query(sql("SELECT chunk, min(length(seq)) = max(length(seq)) AS constant, CASE WHEN min(length(seq)) = max(length(seq)) THEN min(length(seq)) ELSE 0 END const_length FROM reads GROUP BY chunk"))
