@@ -164,6 +164,33 @@ def minimizers(s: Column, k: int = 21, w: int = 11) -> Column:
     return let(let(canonical_kmers(s, k), least), lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1))))
 
 
+def minimizer_places(s: Column, k: int = 23, w: int = 9) -> Column:
+    """array<struct<kmer, pos, forward>>: the least canonical k-mer of every window of w k-mers, the leftmost of equals,
+    each place once; forward is whether the read has it as it stands. Sequences shorter than k + w have none."""
+    none = F.expr("cast(array() as array<struct<kmer:string, pos:int>>)")
+
+    def least(v: Column) -> Column:
+        pairs = F.transform(v, lambda x, i: F.struct(x.alias("kmer"), i.alias("pos")))
+        return let(pairs, lambda p: F.when(F.length(s) >= k + w, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (k + w - 2)), lambda i: F.array_min(F.slice(p, i, w))))).otherwise(none))
+
+    return F.transform(let(canonical_kmers(s, k), least), lambda m: F.struct(m["kmer"].alias("kmer"), m["pos"].alias("pos"), (F.substr(s, m["pos"] + 1, F.lit(k)) == m["kmer"]).alias("forward")))
+
+
+def sketch(s: Column, k: int, n: int) -> Column:
+    """array<string>: the `n` least distinct canonical k-mers of A, C, G and T, fewer if there are fewer."""
+    return let(F.filter(canonical_kmers(s, k), lambda x: ~x.rlike("[^ACGT]")), lambda v: F.slice(F.array_sort(F.array_distinct(v)), 1, n))
+
+
+def closed_syncmers(s: Column, k: int = 21, m: int = 10) -> Column:
+    """array<int>: places of the k-mers of A, C, G and T whose least m-mer stands at either end."""
+
+    def chosen(v: Column) -> Column:
+        ends = lambda i: (F.get(v["m"], i) == F.array_min(F.slice(v["m"], i + 1, k - m + 1))) | (F.get(v["m"], i + (k - m)) == F.array_min(F.slice(v["m"], i + 1, k - m + 1)))
+        return F.filter(F.transform(v["k"], lambda x, i: F.when(ends(i) & ~x.rlike("[^ACGT]"), i)), lambda i: i.isNotNull())
+
+    return let(F.struct(kmers(s, k).alias("k"), kmers(s, m).alias("m")), chosen)
+
+
 def centre_windows(s: Column) -> Column:
     """struct<left, right>: the stretches before and after the middle, up to 32 bases or 32% of a read under 100; N as A."""
     n = F.length(s)

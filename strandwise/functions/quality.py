@@ -85,3 +85,14 @@ def from_bytes(b: Column) -> Column:
     h = F.hex(b)
     q = lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("int")
     return F.when(F.length(h) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.when(q(i) == 255, "!").otherwise(F.chr(q(i) + 33))), "")).otherwise(F.lit(""))
+
+
+def context_by_base(pos: Column, q1: Column, base: Column) -> Column:
+    """Context number: position by twenties (to 19), last value (to 39) and base."""
+    code = F.when(base == "A", 0).when(base == "C", 1).when(base == "G", 2).when(base == "T", 3).otherwise(4)
+    return F.least(F.floor(pos / 20), F.lit(19)) * 200 + F.least(q1, F.lit(39)) * 5 + code
+
+
+def context_by_byte(pos: Column, before: Column) -> Column:
+    """Context number: position (by eights from 8 on) and the upper six bits of the character before."""
+    return F.when(pos < 8, pos).otherwise(8 + F.floor(pos / 8)) * 64 + F.floor(before / 4)

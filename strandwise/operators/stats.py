@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +77,28 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
         lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["seen"] <= at) & (a["seen"] + x["n"] > at), x["v"]).otherwise(a["v"]).alias("v")),
     )["v"]
     return listed.select(*by, found.alias("median"), F.col("_total").alias("total"))
+
+
+def rescaled_bits(df: DataFrame, by: str, order: str, symbols: str, alphabet: str, limit: int) -> DataFrame:
+    """(`by`, n, bits): code length of the characters of `symbols` in order of `order`, under an adaptive model for each
+    `by` whose counts begin at 1 and are halved (rounded up) when their sum passes `limit`.
+
+    The counts depend on all symbols before, so each `by` is one task's work in order; what it holds is its own rows.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        text = "".join(frame.sort_values(order)[symbols].tolist())
+        at, counts = {c: i for i, c in enumerate(alphabet)}, [1] * len(alphabet)
+        total, bits = len(alphabet), 0.0
+        for c in text:
+            k = at[c]
+            bits -= math.log2(counts[k] / total)
+            counts[k] += 1
+            total += 1
+            if total > limit:
+                counts = [(x + 1) // 2 for x in counts]
+                total = sum(counts)
+        return pd.DataFrame({by: [frame[by].iloc[0]], "n": [len(text)], "bits": [bits]})
+
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, n long, bits double"
+    return df.select(by, order, symbols).groupBy(by).applyInPandas(run, schema)

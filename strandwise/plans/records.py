@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandwise.functions import dna, headers, packing, quality
-from strandwise.operators import align, columns, kmers, reorder
+from strandwise.functions import codecs, dna, headers, packing, quality
+from strandwise.operators import align, columns, kmers, mapping, reorder, stats
 from strandwise.plans.catalog import HISTORY, SYNC, history, query
+from strandwise.plans.oracle import kmers as sql_kmers
 from strandwise.plans.oracle import minimizers as sql_minimizers
-from strandwise.plans.oracle import sql
-from strandwise.sources.carrier import aln, bases, hdr, reads
+from strandwise.plans.oracle import rc, sql
+from strandwise.sources.carrier import PHREDS, aln, bases, hdr, reads
 
 CODE = lambda i: f"greatest(instr('ACGT', substr(seq, {i}, 1)) - 1, 0) * CASE WHEN {i} > length(seq) THEN 0 ELSE 1 END"
 HEX2 = f"array_to_string(list_transform(range(1, length(seq) + 1, 2), lambda i: substr('0123456789ABCDEF', ({CODE('i')}) * 4 + ({CODE('(i + 1)')}) + 1, 1)), '')"
@@ -223,3 +224,113 @@ def extracted_files(spark, sf_dir):
     both = pairs.select(F.explode(F.array(F.struct(F.col("ord1").alias("ord"), F.lit("R1").alias("file")), F.struct(F.col("ord2").alias("ord"), F.lit("R2").alias("file")))).alias("x")).select("x.*")
     return both.unionByName(single.select("ord", F.lit("SE").alias("file")))
 
+
+
+# ---- k-mer selections and similarity joins
+
+PLACES = f"mp AS (SELECT DISTINCT ord, m.kmer kmer, m.pos pos, substr(seq, m.pos::BIGINT + 1, 23) = m.kmer AS forward FROM (SELECT ord, seq, p, n, min({{'kmer': least(x, {rc('x')}), 'pos': p}}) OVER (PARTITION BY ord ORDER BY p ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) m FROM (SELECT ord, seq, i - 1 AS p, substr(seq, i, 23) x, length(seq) n FROM (SELECT *, unnest(range(1, length(seq) - 21)) i FROM reads WHERE length(seq) >= 32))) WHERE p <= n - 31)"
+
+
+@query(sql("SELECT ord, kmer, pos, forward FROM mp", PLACES))
+def minimizer_places(spark, sf_dir):
+    """Minimizers (23, 9) of each read with their places and strands."""
+    return reads(spark, sf_dir).select("ord", F.explode(dna.minimizer_places(F.col("seq"))).alias("m")).select("ord", "m.*")
+
+
+@query(sql(f"SELECT r.ord, coalesce(array_to_string(l[1:2], ','), '') two, coalesce(array_to_string(l[1:8], ','), '') sketch FROM reads r LEFT JOIN (SELECT ord, list_sort(list(DISTINCT kmer)) l FROM {sql_kmers(21)} GROUP BY ord) k ON r.ord = k.ord"))
+def kmer_sketches(spark, sf_dir):
+    """The two and the eight least canonical 21-mers of each read."""
+    s = F.col("s")
+    return reads(spark, sf_dir).select("ord", dna.sketch(F.col("seq"), 21, 8).alias("s")).select("ord", F.array_join(F.slice(s, 1, 2), ",").alias("two"), F.array_join(s, ",").alias("sketch"))
+
+
+@query(sql(f"SELECT ord, string_agg(pos, ',' ORDER BY pos) places FROM (SELECT ord, pos, x, list_min(list_transform(range(1, 13), lambda j: substr(x, j, 10))) m FROM {sql_kmers(21)}) WHERE substr(x, 1, 10) = m OR substr(x, 12, 10) = m GROUP BY ord"))
+def closed_syncmer_places(spark, sf_dir):
+    """Places of the 21-mers whose least 10-mer stands at either end."""
+    own = reads(spark, sf_dir).select("ord", dna.closed_syncmers(F.col("seq")).alias("p")).where("size(p) > 0")
+    return own.select("ord", F.array_join(F.col("p").cast("array<string>"), ",").alias("places"))
+
+
+SEEDS = "seeds AS (SELECT chunk AS ref, arg_min(seq, ord) seq FROM reads GROUP BY chunk)"
+
+
+def seeds(spark, sf_dir):
+    """References (ref, seq): the first read of every chunk."""
+    first = reads(spark, sf_dir).groupBy("chunk").agg(F.min(F.struct("ord", "seq")).alias("m"))
+    return first.select(F.col("chunk").alias("ref"), F.col("m.seq").alias("seq"))
+
+
+@query(sql(f"SELECT kmer, ref, pos AS position, place FROM (SELECT kmer, ref, pos, row_number() OVER (PARTITION BY kmer ORDER BY ref, pos) place FROM (SELECT ref, i - 1 AS pos, least(substr(seq, i, 21), {rc('substr(seq, i, 21)')}) kmer FROM (SELECT *, unnest(range(1, length(seq) - 19)) i FROM seeds)) WHERE pos % 2 = 0 AND kmer NOT LIKE '%N%') WHERE place <= 100", SEEDS))
+def capped_index(spark, sf_dir):
+    """Index of every second 21-mer of the first reads, up to 100 places each."""
+    return mapping.index(seeds(spark, sf_dir), 21, 2, 100).withColumnRenamed("at", "position")
+
+
+HITS = (
+    f"{SEEDS}, both2 AS (SELECT ord, false is_rc, seq s FROM reads WHERE length(seq) >= 21 UNION ALL SELECT ord, true, {rc('seq')} FROM reads WHERE length(seq) >= 21), "
+    "asked AS (SELECT ord, is_rc, s, a, substr(s, a + 1, 21) kmer FROM (SELECT *, unnest(list_distinct(list_transform(range(0, 4), lambda i: (i * (length(s) - 21)) // 3))) a FROM both2)), "
+    "tab AS (SELECT ref, i - 1 AS p, substr(seq, i, 21) kmer FROM (SELECT *, unnest(range(1, length(seq) - 19)) i FROM seeds)), "
+    "met AS (SELECT DISTINCT ord, is_rc, s, ref, p - a AS place FROM asked JOIN tab USING (kmer) WHERE kmer NOT LIKE '%N%' AND p >= a), "
+    "hit AS (SELECT ord, is_rc, ref, place, s, d, row_number() OVER (PARTITION BY ord ORDER BY d, ref, place, is_rc) r, rs FROM (SELECT m.*, x.seq rs, list_sum(list_transform(range(1, length(s) + 1), lambda i: (substr(s, i, 1) <> substr(x.seq, place + i, 1))::INT)) d FROM met m JOIN seeds x ON m.ref = x.ref WHERE place + length(s) <= length(x.seq)) WHERE d <= 8)"
+)
+
+
+@query(sql("SELECT ord, ref, place AS position, is_rc, d::BIGINT mismatches FROM hit WHERE r = 1", HITS))
+def seed_hits(spark, sf_dir):
+    """The best place of each read in the first read of any chunk, on either strand, by four anchors."""
+    return mapping.best_hits(reads(spark, sf_dir), seeds(spark, sf_dir)).withColumnRenamed("at", "position")
+
+
+@query(sql("SELECT h.ord, array_to_string(list_transform(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(rs, place + i, 1)), lambda i: (i - 1) || substr(s, i, 1)), ',') diffs, CASE WHEN is_rc THEN " + rc("s") + " ELSE s END AS back FROM hit h WHERE r = 1", HITS))
+def mapped_read_mismatches(spark, sf_dir):
+    """What mapped reads store besides their place, and the reads rebuilt from it."""
+    r, refs = reads(spark, sf_dir), seeds(spark, sf_dir)
+    stored = mapping.mismatches(r, mapping.best_hits(r, refs), refs)
+    back = mapping.undo_mismatches(stored, refs).select("ord", F.col("seq").alias("back"))
+    listed = F.array_join(F.transform("diffs", lambda x: F.concat(x["pos"].cast("string"), x["base"])), ",")
+    return stored.select("ord", listed.alias("diffs")).join(back, "ord")
+
+
+OVER = "mk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY kmer) c FROM mp) WHERE c BETWEEN 2 AND 50), pr AS (SELECT DISTINCT x.ord a, y.ord b, x.pos::BIGINT - y.pos::BIGINT AS shift FROM mk x JOIN mk y ON x.kmer = y.kmer AND x.forward = y.forward AND x.ord < y.ord)"
+
+
+@query(sql("SELECT a, b, shift, n, d::BIGINT mismatches FROM (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: (substr(s, greatest(shift, 0) + i, 1) <> substr(t, greatest(-shift, 0) + i, 1))::INT)) d FROM (SELECT a, b, shift, x.seq s, y.seq t, least(length(x.seq) - greatest(shift, 0), length(y.seq) - greatest(-shift, 0)) n FROM pr JOIN reads x ON x.ord = a JOIN reads y ON y.ord = b) WHERE n >= 31) WHERE d <= 4", f"{PLACES}, {OVER}"))
+def read_overlaps(spark, sf_dir):
+    """Pairs of reads that overlap by 31 bases or more with up to four mismatches, found by shared minimizers."""
+    return mapping.overlaps(reads(spark, sf_dir))
+
+
+# ---- more contexts, models and codecs
+
+
+@query(sql("SELECT least(pos // 20, 19) * 200 + least(coalesce(q1, 0), 39) * 5 + CASE base WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS context, CASE WHEN pos < 8 THEN pos ELSE 8 + pos // 8 END * 64 + (coalesce(q1, 0) + 33) // 4 AS context2, count(*) n, sum(q)::BIGINT total FROM hist GROUP BY ALL", HISTORY))
+def alternative_contexts(spark, sf_dir):
+    """Counts under two other numberings of contexts: position by twenties, last quality and base; position and last byte."""
+    h = history(reads(spark, sf_dir))
+    one, two = quality.context_by_base(F.col("pos"), F.coalesce("q1", F.lit(0)), F.col("base")), quality.context_by_byte(F.col("pos"), F.coalesce("q1", F.lit(0)) + 33)
+    return h.groupBy(one.alias("context"), two.alias("context2")).agg(F.count("*").alias("n"), F.sum("q").alias("total"))
+
+
+@query(sql(f"SELECT chunk, sum(n)::BIGINT n, round((lgamma(sum(n) + {len(PHREDS)}) - lgamma({len(PHREDS)}) - sum(lgamma(n + 1))) / ln(2), 2) bits FROM (SELECT chunk, q, count(*) n FROM bases GROUP BY ALL) GROUP BY chunk"))
+def rescaled_quality_bits(spark, sf_dir):
+    """Code length of each chunk's qualities under a model whose counts are halved beyond 2 ** 20."""
+    out = stats.rescaled_bits(reads(spark, sf_dir), "chunk", "ord", "qual", PHREDS, 1 << 20)
+    return out.withColumn("bits", F.round("bits", 2))
+
+
+@query(sql("SELECT chunk, codec, sum(length(seq))::BIGINT n_bytes, sha256(string_agg(seq, '' ORDER BY ord)) digest FROM reads, (VALUES ('bz2'), ('zlib'), ('zstd')) v(codec) GROUP BY ALL"))
+def codec_round_trips(spark, sf_dir):
+    """Length and digest of each chunk's bases after compressing and decompressing them with every codec."""
+    whole = reads(spark, sf_dir).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("ord", "seq"))).alias("v")).select("chunk", F.array_join(F.transform("v", lambda x: x["seq"]), "").alias("s"))
+    out = None
+    for codec in codecs.CODECS:
+        back = codecs.decompress(codecs.compress(F.col("s"), codec), codec)
+        one = whole.select("chunk", F.lit(codec).alias("codec"), back.alias("b")).select("chunk", "codec", F.length("b").cast("long").alias("n_bytes"), F.sha2("b", 256).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(sql("SELECT ord, seq FROM reads WHERE NOT contains(seq, 'N')"))
+def reads_without_n(spark, sf_dir):
+    """Reads without an unknown base, as the analyses of sequence contexts load them."""
+    return reads(spark, sf_dir).where(~F.contains("seq", F.lit("N"))).select("ord", "seq")

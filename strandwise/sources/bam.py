@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,21 +16,68 @@ SCHEMA = (
 
 
 def inflate(data: bytes) -> Iterator[bytes]:
-    """The members of a (block-)gzip file; other data as they are."""
+    """The members of a (block-)gzip file; other data as they are.
+
+    A block says its size in its header, so blocks are cut without a copy of what follows; members of other gzip files
+    are fed piece by piece.
+    """
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data:
+    whole, at = memoryview(data), 0
+    while at < len(whole):
+        # fixed values of the format: extra field of 6 bytes, named BC, that holds the block's size less one
+        if len(whole) >= at + 18 and whole[at + 3] & 4 and whole[at + 10 : at + 16] == b"\x06\x00BC\x02\x00":
+            end = at + 1 + int.from_bytes(whole[at + 16 : at + 18], "little")
+            if end > len(whole):
+                raise ValueError("the file is cut off within a gzip member")
+            yield zlib.decompress(whole[at:end], 31)
+            at = end
+            continue
         d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        if not d.eof:
-            raise ValueError("the file is cut off within a gzip member")
-        data = d.unused_data
+        while not d.eof:
+            piece = whole[at : at + (1 << 16)]
+            if not len(piece):
+                raise ValueError("the file is cut off within a gzip member")
+            yield d.decompress(piece)
+            at += len(piece) - len(d.unused_data)
+
+
+class Stream:
+    """Bytes of consecutive parts, of which only the present one is held."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.part, self.at = parts, b"", 0
+
+    def read(self, n: int) -> bytes:
+        got = self.part[self.at : self.at + n]
+        self.at += len(got)
+        if len(got) == n:
+            return got
+        more = [got]
+        left = n - len(got)
+        for self.part in self.parts:
+            self.at = min(left, len(self.part))
+            more.append(self.part[: self.at])
+            left -= self.at
+            if not left:
+                break
+        return b"".join(more)
+
+
+def sort_order(header: str) -> str:
+    """What the @HD line of a header text says of the order: coordinate, other, or unknown where it says nothing."""
+    for line in header.split("\n"):
+        if line.startswith("@HD"):
+            for field in line.split("\t")[1:]:
+                if field.startswith("SO:"):
+                    return "coordinate" if field[3:] == "coordinate" else "unknown" if field[3:] in ("", "unknown") else "other"
+    return "unknown"
 
 
 def parse(data: bytes) -> Iterator[tuple]:
     """The records of a file as tuples of SCHEMA without the file. Bounds are checked; bad ones raise ValueError."""
-    stream = io.BytesIO(b"".join(inflate(data)))
+    stream = Stream(inflate(data))
 
     def take(n: int) -> bytes:
         got = stream.read(n)

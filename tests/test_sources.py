@@ -1,6 +1,7 @@
 """Files: FASTQ, FASTA, gzip, archives, BAM bytes, and streamed chunks."""
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -8,7 +9,8 @@ import pytest
 from strandwise.sources import archive, bam, fastq
 from strandwise.streaming import ingest
 
-READS = [("@read1 x", "ACGTACGTACGTACGT", "I" * 16), ("@read2 x", "TGCATGCATGCATGCA", "H" * 16), ("@read3 x", "AAAACCCCGGGGTTTT", "@" * 16)]
+_rng = random.Random(4)
+READS = [(f"@name{i} of {i}", "".join(_rng.choices("ACGT", k=20)), "".join(chr(33 + _rng.randrange(41)) for _ in range(20))) for i in range(3)]
 
 
 def text(reads):
