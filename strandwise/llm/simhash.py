@@ -45,8 +45,8 @@ SHINGLE, SEED, BITS, DENSE = 3, 42, 3, 64
 SIMILAR, CROWD, BLOCK, VALUES, FLUSH = 0.8, 8, 256, 1 << 19, 1 << 18
 
 #: Bits of the cells in which shingles are counted, cells that a worker counts at once, and the most cells that are known
-#: as common (8 MB; the most frequent ones, if there are more).
-CELL_BITS, CELLS, COMMON = 30, 1 << 22, 1 << 21
+#: as common (64 MB; the most frequent ones, if there are more).
+CELL_BITS, CELLS, COMMON = 30, 1 << 22, 1 << 24
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
