@@ -31,8 +31,9 @@ from strandwise.llm.common import checkpoint, ship, size_checked
 
 #: Rows of the labelled sample, trigram buckets, smoothing, levelling of text evidence, and weights of priors.
 TRAIN_ROWS, BUCKETS, ALPHA, SPREAD, STRENGTH = 8000, 1 << 15, 0.5, 100.0, 5.0
-#: A label needs this share of the sample to become a language; und's prior; bytes that are scored at once.
-LEAST_SHARE, UND_PRIOR, CHUNK = 0.001, 0.01, 1 << 20
+#: Rows of a label that the sample has at least (all, if fewer); the most languages of a model (the most frequent labels);
+#: und's prior; bytes that are scored at once.
+LEAST_SAMPLE, MOST_LANGUAGES, UND_PRIOR, CHUNK = 200, 256, 0.01, 1 << 20
 #: A row is rejected below this posterior.
 LEAST_POSTERIOR = 0.5
 
@@ -86,31 +87,35 @@ class TextModel:
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> TextModel:
     """Trigram models of the labels, from about `train_rows` labelled rows (all, if fewer) chosen by a hash of the id.
 
-    Whole texts are counted on the executors; what comes to the driver is a count for each label and bucket.
+    Rows are sampled label by label, so that a rare label has LEAST_SAMPLE rows too: at most `train_rows` and
+    LEAST_SAMPLE for each of MOST_LANGUAGES labels. Whole texts are counted on the executors; what comes to the driver is
+    a count for each label and bucket. Rows without a label or a text take no part; without labelled rows there is no
+    language, and every row is `und`.
     """
     ship(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, train_rows / max(rows.count(), 1))
-    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000 + 1)).select(F.lower(label).alias("label"), padded(F.col(text)).alias("t"))
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.lower(label).alias("label"), F.col(text).alias("t"), F.col(id_col).alias("id"))
+    by_label = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()
+    names, total = sorted(r["label"] for r in by_label), sum(r["n"] for r in by_label)
+    shares = {r["label"]: min(1.0, max(train_rows * r["n"] / total, LEAST_SAMPLE) / r["n"]) for r in by_label}
+    parts = [F.lit(x) for name, share in shares.items() for x in (name, int(share * 1_000_000 + 1))]
+    most = F.create_map(*parts)[F.col("label")] if parts else F.lit(0)
+    sample = rows.where(F.col("label").isin(names) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < most)).select("label", padded(F.col("t")).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), spans_of(batch.column(1)), strict=True):
-                own = seen.setdefault(name, np.zeros(BUCKETS + 1, dtype=np.int64))
-                own[BUCKETS] += 1
+                own = seen.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
                 for at in range(0, max(0, len(data) - 2), CHUNK):
                     buckets, counts = trigrams(data[at : at + CHUNK + 2])
-                    own[:BUCKETS] += np.bincount(buckets[counts], minlength=BUCKETS)
+                    own += np.bincount(buckets[counts], minlength=BUCKETS)
         for name, own in seen.items():
             there = np.nonzero(own)[0]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), pa.array(there, pa.int64()), pa.array(own[there], pa.int64())], names=["label", "bucket", "n"])
 
     counted = sample.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    rows_by = {r["label"]: r["n"] for r in counted.where(F.col("bucket") == BUCKETS).collect()}
-    names = sorted(k for k, n in rows_by.items() if n >= LEAST_SHARE * sum(rows_by.values()))
     table = np.full((BUCKETS, len(names) + 1), ALPHA)
-    own = counted.where((F.col("bucket") < BUCKETS) & F.col("label").isin(names)).toArrow().to_pydict()
+    own = counted.toArrow().to_pydict()
     for name, bucket, n in zip(own["label"], own["bucket"], own["n"], strict=True):
         table[bucket, names.index(name)] += n
     table[:, -1] = 1.0
