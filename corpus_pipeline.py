@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Where
 the stages run one by one, each result is written as Parquet and reread; `run` does the same in the shared folder.
+
+In all stages null texts are empty, repeated rows and rows of equal id and text are treated alike, and an empty table
+gives an empty table. Stages return the columns that they get, in order; other columns than those of documents stay
+and may have any name.
 """
 
 from __future__ import annotations
@@ -17,14 +21,20 @@ from strandwise.llm.common import checkpoint, shared_folder, size_checked, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; text, declared language and source (as host) are the evidence."""
+    """Documents whose language is known; text, declared language and source (as host) are the evidence.
+
+    Texts that are null, empty or without letters have no language and go. Without a labelled row every document goes.
+    """
     model = language_id.fit(docs)
     out = language_id.identify(docs, model, F.col("text"), F.col("lang"), F.col("source"))
     return out.where(language_id.accepted(F.col("language"), F.col("posterior"))).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of windows of three lines go; n_chars is that of the new text."""
+    """Later occurrences of windows of three lines go; n_chars is that of the new text, 0 to many, null for a null text.
+
+    Every row stays, also where no line is left. The first occurrence is that of the least id.
+    """
     out = line_dedup.dedup(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -35,13 +45,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go. Documents without an id, and null texts, stay."""
     named = checkpoint(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct())
     return docs.join(size_checked(named, named.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the ids and of what they decode to."""
+    """Token ids of every document, with the digests of the ids and of what they decode to; none for a null text."""
     return bpe.encode_decode(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, keep_ids=True)
 
 
