@@ -94,14 +94,14 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", train_row
 
 
 def random_spans(tokens: Column, ratio: list[float], threshold: float = THRESHOLD, evidence: float = EVIDENCE) -> Column:
-    """Of `tokens` (found by TOKEN) those that pass the ratio test, as `sorted_base` has spans."""
+    """Of `tokens` (found by TOKEN) those that pass the ratio test, as `sorted_base` has spans. Tokens without a letter are numbers."""
     csv = ",".join(f"{x:.6f}" for x in ratio)
     lookup = F.split(F.lit(csv), ",").cast("array<double>")
 
     def total(token: Column) -> Column:
         return F.aggregate(bigrams(token), F.lit(0.0), lambda acc, p: acc + F.get(lookup, p))
 
-    kept = F.filter(tokens, lambda x: total(x["m"]) >= F.greatest(F.lit(evidence), threshold * F.length(x["m"])))
+    kept = F.filter(tokens, lambda x: F.when(x["m"].rlike("[A-Za-z]"), total(x["m"]) >= F.greatest(F.lit(evidence), threshold * F.length(x["m"]))).otherwise(False))
     return of_kind(kept, 3)
 
 
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, ratio: list[float], text: str = "text") -> DataFrame:
     """`docs` with `base` and `secrets` (base and model spans, sorted): arrays of struct<s, kind, e, m>.
 
     Positions are code points, end exclusive. Null and empty texts have no spans. A model span has 12 characters or
-    more, letters alone too, and a log2 ratio of EVIDENCE in all and THRESHOLD for each character; one that overlaps a
+    more, at least one of them a letter, and a log2 ratio of EVIDENCE in all and THRESHOLD for each character; one that overlaps a
     span of the rules is left out. Rows are independent: repeated rows, rows without an id and ties have equal results,
     and an empty table gives no rows. Columns of `docs` that are named base or secrets are replaced; others stay.
     """
