@@ -210,3 +210,17 @@ def test_language_of_long_texts_repeated_rows_and_tables_without_labels(spark):
     none = language_id.fit(train.withColumn("lang", F.lit(None).cast("string")))
     assert {r.language for r in language_id.identify(train, none, F.col("text"), F.col("lang"), F.col("host")).collect()} == {"und"}
     assert not language_id.fit(train.limit(0)).languages
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "some words of a text without a label", None, None, 1), (None, None, None, None, None)]])
+def test_pipeline_of_empty_and_unlabelled_documents(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("node", F.lit("own")).withColumn("label", F.lit(1))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == len(rows), name
