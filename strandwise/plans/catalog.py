@@ -174,20 +174,14 @@ def hamming_previous_read(spark, sf_dir):
     return own.select("ord", dna.hamming(F.col("seq"), F.col("p")).alias("d"), dna.hamming(F.col("seq"), F.col("p"), 110).alias("near"))
 
 
-HASH = lambda x, k: f"list_reduce(list_transform(range(1, {k} + 1), lambda i: (instr('CGT', substr({x}, i, 1)))::BIGINT), lambda a, b: a * 4 + b)"
+# the hash of a k-mer and that of its reverse complement, one term for each letter: whole columns at a time, so the SQL is fit for all k-mers
+TERMS = lambda x, k: " + ".join(f"instr('CGT', substr({x}, {i}, 1))::BIGINT * {4 ** (k - i)}" for i in range(1, k + 1))
+TURNED = lambda x, k: " + ".join(f"(3 - instr('CGT', substr({x}, {i}, 1)))::BIGINT * {4 ** (i - 1)}" for i in range(1, k + 1))
 
 
-@query(sql(f"SELECT ord, pos, {HASH('x', 21)} hash, x kmer, {HASH(rc('x'), 21)} reverse, {HASH('x', 21)} >> 34 hint FROM (SELECT ord, 0::BIGINT pos, substr(seq, 1, 21) x FROM reads WHERE length(seq) >= 21) WHERE x NOT LIKE '%N%'"))
+@query(sql(f"SELECT *, hash >> 34 hint FROM (SELECT ord, pos, {TERMS('x', 21)} hash, x kmer, {TURNED('x', 21)} reverse FROM (SELECT ord, pos, substr(seq, pos + 1, 21) x FROM (SELECT ord, seq, unnest(range(0, length(seq) - 20)) pos FROM reads)) WHERE x NOT LIKE '%N%')"))
 def kmer_hashes(spark, sf_dir):
-    """Hash of each read's first 21-mer, the k-mer from the hash, the hash of its reverse complement and its hint."""
-    h = dna.kmer_hash(F.substr("seq", F.lit(1), F.lit(21)))
-    own = reads(spark, sf_dir).where("length(seq) >= 21").select("ord", F.lit(0).alias("pos"), h.alias("hash")).where("hash is not null")
-    return own.select("ord", "pos", "hash", dna.hash_kmer(F.col("hash"), 21).alias("kmer"), dna.reverse_hash(F.col("hash"), 21).alias("reverse"), F.shiftright("hash", 34).alias("hint"))
-
-
-@query(None)
-def kmer_hashes_all(spark, sf_dir):
-    """What `kmer_hashes` gives, for every 21-mer of every read and its position."""
+    """Hash of every 21-mer of every read, its position, the k-mer from the hash, the hash of its reverse complement and its hint."""
     own = kmers.hashes(reads(spark, sf_dir), 21)
     return own.select("ord", "pos", "hash", dna.hash_kmer(F.col("hash"), 21).alias("kmer"), dna.reverse_hash(F.col("hash"), 21).alias("reverse"), F.shiftright("hash", 34).alias("hint"))
 
