@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions.dna import let, running
+from strandwise.functions.kernels import ship  # noqa: F401
 from strandwise.operators.graph import checkpoint, shared_folder  # noqa: F401
 
 #: Words of the text contracts: runs of ASCII letters, digits and everything beyond ASCII.
@@ -23,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, as a zip that the driver serves, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_strandwise_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "strandwise.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(top, "strandwise")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, top))
-    sc.addPyFile(path)
-    sc._strandwise_shipped = True
-
-
 def size_checked(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if its counted `rows` are within `limit`, else `df` for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
