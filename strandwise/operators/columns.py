@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import dna, quality
-from strandwise.operators import stats
+from strandwise.operators import stats, streams
 
 #: Codes of written-out bases, from 1; 0 stands for a base equal to the one above.
 LETTERS = "ACGTN"
@@ -27,14 +27,7 @@ def quality_deltas(reads: DataFrame, by: str = "chunk") -> DataFrame:
 
 def undo_quality_deltas(deltas: DataFrame, by: str = "chunk") -> DataFrame:
     """(ord, qual): running sums by position, begun anew where the read before was shorter. Exact where no delta was clamped."""
-    numbered = deltas.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("ord")))
-    long = numbered.select("ord", by, "k", F.posexplode("deltas").alias("pos", "d"))
-    w = Window.partitionBy(by, "pos").orderBy("k")
-    start = F.when(F.col("k") == 1, 0).when(F.col("k") - F.coalesce(F.lag("k").over(w), F.lit(0)) > 1, MISSING)
-    long = long.withColumn("start", start).withColumn("island", F.count("start").over(w))
-    value = F.sum(F.col("d") + F.coalesce("start", F.lit(0))).over(Window.partitionBy(by, "pos", "island").orderBy("k"))
-    back = long.select("ord", "pos", value.alias("q")).groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("v"))
-    return back.select("ord", F.array_join(F.transform("v", lambda x: F.chr(x["q"] + 33)), "").alias("qual"))
+    return streams.qualities(deltas, by, MISSING)
 
 
 def frequent_length(reads: DataFrame) -> DataFrame:
@@ -70,11 +63,7 @@ def read_deltas(reads: DataFrame, by: str = "chunk") -> DataFrame:
 
 def undo_read_deltas(deltas: DataFrame, by: str = "chunk") -> DataFrame:
     """(ord, seq): at each position the last code above that is not 0."""
-    long = deltas.select("ord", by, F.posexplode("codes").alias("pos", "c"))
-    w = Window.partitionBy(by, "pos").orderBy("ord")
-    base = F.substr(F.lit(LETTERS), F.last(F.when(F.col("c") > 0, F.col("c")), ignorenulls=True).over(w), F.lit(1))
-    back = long.select("ord", "pos", base.alias("base")).groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("pos", "base"))).alias("v"))
-    return back.select("ord", F.array_join(F.transform("v", lambda x: x["base"]), "").alias("seq"))
+    return streams.sequences(deltas, by, LETTERS)
 
 
 def consensus(long: DataFrame, *by: str) -> DataFrame:
@@ -87,12 +76,7 @@ def consensus(long: DataFrame, *by: str) -> DataFrame:
 def best_shifts(reads: DataFrame, k: int, by: str = "chunk") -> DataFrame:
     """(ord, chunk, shift, n): the shift against the chunk's first read that most k-mers vote for, where each k-mer of
     that read stands first. Ties go to the least distance, then the least shift. Reads without a common k-mer have none."""
-    every = reads.select("ord", by, F.posexplode(dna.kmers(F.col("seq"), k)).alias("pos", "x"))
-    first = reads.groupBy(by).agg(F.min("ord").alias("ord"))
-    table = every.join(first, [by, "ord"], "left_semi").groupBy(by, "x").agg(F.min("pos").alias("there"))
-    votes = every.join(table, [by, "x"]).groupBy("ord", by, (F.col("there") - F.col("pos")).alias("shift")).agg(F.count("*").alias("n"))
-    best = votes.groupBy("ord", by).agg(F.max(F.struct("n", (-F.abs("shift")).alias("near"), (-F.col("shift")).alias("minus"))).alias("b"))
-    return best.select("ord", by, (-F.col("b.minus")).alias("shift"), "b.n")
+    return streams.shifts(reads, k, by)
 
 
 def adaptive_models(df: DataFrame, symbol: str, contexts: dict[str, list[str]], alphabet: int) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.operators import streams
+
 
 def entropy(df: DataFrame, symbol: str, context: list[str] | None = None) -> DataFrame:
     """(h, n, n_contexts): bits of `symbol` given `context` columns, from one count for each (context, symbol).
@@ -83,22 +85,39 @@ def rescaled_bits(df: DataFrame, by: str, order: str, symbols: str, alphabet: st
     """(`by`, n, bits): code length of the characters of `symbols` in order of `order`, under an adaptive model for each
     `by` whose counts begin at 1 and are halved (rounded up) when their sum passes `limit`.
 
-    The counts depend on all symbols before, so each `by` is one task's work in order; what it holds is its own rows.
+    The counts depend on all symbols before, so each `by` is one task's work in order; it holds only the counts.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        text = "".join(frame.sort_values(order)[symbols].tolist())
-        at, counts = {c: i for i, c in enumerate(alphabet)}, [1] * len(alphabet)
-        total, bits = len(alphabet), 0.0
-        for c in text:
-            k = at[c]
-            bits -= math.log2(counts[k] / total)
-            counts[k] += 1
-            total += 1
-            if total > limit:
-                counts = [(x + 1) // 2 for x in counts]
-                total = sum(counts)
-        return pd.DataFrame({by: [frame[by].iloc[0]], "n": [len(text)], "bits": [bits]})
+    at, size = {ord(c): i for i, c in enumerate(alphabet)}, len(alphabet)
+    code = np.full(max(at) + 2, -1)
+    code[list(at)] = list(at.values())
+
+    def rising(n: np.ndarray, more: np.ndarray) -> float:
+        """log of n (n + 1) ... (n + more - 1), summed."""
+        return sum(math.lgamma(a + m) - math.lgamma(a) for a, m in zip(n.tolist(), more.tolist(), strict=True) if m)
+
+    def rows(stream):
+        key = None
+        for first, k, text in stream:
+            if first:
+                if key is not None:
+                    yield key[0], total_n, bits / math.log(2)
+                key, counts, total, total_n, bits = (k,), np.ones(size, np.int64), size, 0, 0.0
+            own = code[np.minimum(streams.points(text or ""), len(code) - 1)]
+            if (own < 0).any():
+                raise ValueError(f"symbols outside the alphabet: {text[:200]}")
+            total_n += len(own)
+            while len(own):
+                # up to the symbol whose count makes the sum pass the limit, the code length needs only the counts
+                part, own = own[: max(limit - total + 1, 1)], own[max(limit - total + 1, 1) :]
+                more = np.bincount(part, minlength=size)
+                bits += math.lgamma(total + len(part)) - math.lgamma(total) - rising(counts, more)
+                counts, total = counts + more, total + len(part)
+                if total > limit:
+                    counts = (counts + 1) // 2
+                    total = int(counts.sum())
+        if key is not None:
+            yield key[0], total_n, bits / math.log(2)
 
     schema = f"{by} {df.schema[by].dataType.simpleString()}, n long, bits double"
-    return df.select(by, order, symbols).groupBy(by).applyInPandas(run, schema)
+    return streams.streamed(df, by, [order], [symbols], schema, lambda s: streams.given(rows(s)))
