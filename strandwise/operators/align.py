@@ -36,6 +36,11 @@ def nibble(base: Column) -> Column:
 def consensus(steps: DataFrame) -> DataFrame:
     """(ref_id, ref_pos, nibble, n): the most frequent code at each covered position; ties go to the lower, 0 never wins."""
     counted = steps.where("ref_pos is not null and nibble > 0").groupBy("ref_id", "ref_pos", "nibble").agg(F.count("*").alias("n"))
+    return most(counted)
+
+
+def most(counted: DataFrame) -> DataFrame:
+    """(ref_id, ref_pos, nibble, n): of counted codes the most frequent at each position, the lower of equals."""
     best = counted.groupBy("ref_id", "ref_pos").agg(F.max(F.struct("n", (-F.col("nibble")).alias("minus"))).alias("x"))
     return best.select("ref_id", "ref_pos", (-F.col("x.minus")).alias("nibble"), "x.n")
 

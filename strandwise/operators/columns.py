@@ -80,9 +80,8 @@ def best_shifts(reads: DataFrame, k: int, by: str = "chunk") -> DataFrame:
 
 
 def adaptive_models(df: DataFrame, symbol: str, contexts: dict[str, list[str]], alphabet: int) -> DataFrame:
-    """(model, n, bits) of `stats.adaptive_bits` under several contexts, rolled up from one count of all their columns."""
-    columns = sorted({c for own in contexts.values() for c in own})
-    joint = df.groupBy(*columns, symbol).agg(F.count("*").alias("_n"))
+    """(model, n, bits) of `stats.adaptive_bits` under several contexts, rolled up from one count n of all their columns."""
+    joint = df.withColumnRenamed("n", "_n")
     out = None
     for name, own in contexts.items():
         counts = joint.groupBy(*own, symbol).agg(F.sum("_n").alias("_n"))

@@ -22,24 +22,23 @@ def entropy(df: DataFrame, symbol: str, context: list[str] | None = None) -> Dat
     return by.agg(((F.sum(F.col("n") * F.log2("n")) - F.sum("own")) / F.sum("n")).alias("h"), F.sum("n").alias("n"), F.count("*").alias("n_contexts"))
 
 
-def entropies(df: DataFrame, symbol: str, contexts: dict[str, list[str]]) -> DataFrame:
-    """(model, h, n, n_contexts) of several contexts in one pass: grouping sets count them all, as `entropy` does one.
+def entropies_of(joint: DataFrame, contexts: dict[str, list[str]]) -> DataFrame:
+    """(model, h, n, n_contexts) of several contexts, as `entropy` does one, from the counts of `kernels.context_counts`.
 
-    A row counts in a model if its symbol and that model's columns are not null.
+    A row counts in a model if that model's columns are not null.
     """
-    columns = sorted({c for own in contexts.values() for c in own})
-    sets = [[F.col(c) for c in [*own, symbol]] for own in contexts.values()]
-    joint = df.where(F.col(symbol).isNotNull()).groupingSets(sets, *columns, symbol).agg(F.count("*").alias("n"), F.grouping_id(*columns, symbol).alias("gid"))
-    model = whole = None
+    whole = F.lit(False)
     for name, own in contexts.items():
-        gid = int("".join("0" if c in own else "1" for c in columns) + "0", 2)
-        full = F.lit(True)
+        full = F.col("model") == name
         for c in own:
             full = full & F.col(c).isNotNull()
-        here = F.col("gid") == gid
-        model = F.when(here, name) if model is None else model.when(here, name)
-        whole = F.when(here, full) if whole is None else whole.when(here, full)
-    by = joint.where(whole).groupBy(model.alias("model"), *columns).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("own"))
+        whole = whole | full
+    # a symbol may be a context of another model, so the columns of a model are named in one key
+    key = None
+    for name, own in contexts.items():
+        text = F.concat_ws(" ", F.lit(""), *[F.col(c).cast("string") for c in own])
+        key = F.when(F.col("model") == name, text) if key is None else key.when(F.col("model") == name, text)
+    by = joint.where(whole).groupBy("model", key.alias("key")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("own"))
     return by.groupBy("model").agg(((F.sum(F.col("n") * F.log2("n")) - F.sum("own")) / F.sum("n")).alias("h"), F.sum("n").alias("n"), F.count("*").alias("n_contexts"))
 
 
