@@ -43,7 +43,7 @@ def test_queries_on_kmers_take_no_lambda(spark, tmp_path):
     from strandwise.plans import catalog
 
     spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("open_syncmer_keys", "closed_syncmer_places", "rank_recode", "kmer_hashes", "minimizer_places", "cached_delta_candidates"):
+    for name in ("open_syncmer_keys", "closed_syncmer_places", "rank_recode", "kmer_hashes", "minimizer_places", "cached_delta_candidates", "phred_bytes"):
         plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "lambdafunction" not in plan, name
 
@@ -52,3 +52,21 @@ def test_a_frequent_minimizer_makes_no_overlap_pairs(spark):
     df = spark.createDataFrame([(i, "ACGTTGCAACGTAGCTAGCTAGGATCCAAT") for i in range(60)] + [(100 + i, "TTGACCAGGATTACAGATTACCAGGATACCAGTT") for i in range(3)], "ord long, seq string")
     got = {(r.a, r.b) for r in mapping.overlaps(df, cap=50).collect()}
     assert got == {(100, 101), (100, 102), (101, 102)}
+
+
+def test_packed_kernels_and_least_of_equal_references(spark):
+    from strandwise.functions import packing, quality
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, "".join(rng.choices("ACGTN", k=n)), "".join(rng.choices("!#Iz", k=n))) for i, n in enumerate((0, 1, 3, 4, 5, 8, 9, 40))], "ord long, seq string, qual string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    p = packing.pack_masked(F.col("seq"))
+    assert rows(kernels.masked(df).select("ord", "data", "mask", "back")) == rows(df.select("ord", p["data"], p["mask"], "seq"))
+    assert [r.places for r in kernels.masked(df).orderBy("ord").collect()] == [[i for i, c in enumerate(r.seq) if c == "N"] for r in df.orderBy("ord").collect()]
+    b = quality.to_bytes(F.col("qual"))
+    assert rows(kernels.phred_bytes(df)) == rows(df.select("ord", b, quality.from_bytes(b)))
+    ref = "".join(rng.choices("ACGT", k=90))
+    hits = mapping.best_hits(spark.createDataFrame([(0, ref[10:70])], "ord long, seq string"), spark.createDataFrame([(5, ref), (3, ref), (4, ref[1:])], "ref long, seq string"))
+    assert [tuple(r) for r in hits.collect()] == [(0, 3, 10, False, 0)]
+    # one row for equal references goes into the join
+    assert "Aggregate [seq" in hits._jdf.queryExecution().optimizedPlan().toString()
